@@ -7,7 +7,7 @@ about ``SLICE`` bytes and end between words: memory doesn't grow with a text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -92,8 +92,15 @@ def _slices(data: np.ndarray, offs: np.ndarray, parts: np.ndarray) -> Iterator[t
 
 def words(column: pa.Array, parts: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """For every word, in order: the row it is in, and the hash of its bytes with A-Z lower-cased."""
+    rows, hashes = stems(column, parts, (None,))
+    return rows, hashes[0]
+
+
+def stems(column: pa.Array, parts: np.ndarray, sizes: Sequence[int | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As ``words``, but for each of ``sizes`` the hashes of no more than so many bytes from each word's start."""
     data, offs = raw(column)
-    rows, hashes = [], []
+    rows: list[np.ndarray] = []
+    hashes: list[list[np.ndarray]] = [[] for _ in sizes]
     for at, end in _slices(data, offs, parts):
         piece = data[at:end]
         inner = ~parts[piece]
@@ -112,11 +119,13 @@ def words(column: pa.Array, parts: np.ndarray = BLANKS) -> tuple[np.ndarray, np.
         up, down = _powers(SLICE if len(piece) <= SLICE else len(piece))
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum(CODES[piece] * up[: len(piece)], out=sums[1:])
-        hashes.append(mix((sums[ends] - sums[starts]) * down[starts]))
+        for size, out in zip(sizes, hashes, strict=True):
+            upto = ends if size is None else np.minimum(starts + size, ends)
+            out.append(mix((sums[upto] - sums[starts]) * down[starts]))
         rows.append(np.searchsorted(offs, starts + at, side="right") - 1)
     if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(rows), np.concatenate(hashes)
+        return np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64) for _ in sizes]
+    return np.concatenate(rows), [np.concatenate(out) for out in hashes]
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

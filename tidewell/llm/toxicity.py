@@ -1,7 +1,7 @@
 """Toxicity (operator 8): FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are its distinct words, word pairs and pairs with one word
-between, hashed to ``2 ** BITS`` places. Every place has its own learning rate,
+A document's features are its distinct words, stems (the first few bytes of a
+word), word pairs and pairs with one word between, hashed to ``2 ** BITS`` places. Every place has its own learning rate,
 and L1 keeps most weights at zero, so what is left is small enough to send to
 every executor. The model learns in one task from at most ``SAMPLE`` labelled
 documents, taken by a hash of their id; scoring reads every document whole.
@@ -21,20 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.textvec import PUNCTUATION, mix, words
+from tidewell.llm.textvec import PUNCTUATION, mix, stems
 from tidewell.storage import materialize
 
 BITS = 20
+#: Lengths of stems in bytes.
+STEMS = (4, 5, 6)
 #: The most labelled documents that the model learns from.
 SAMPLE = 24_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and places of all words, pairs and skip-grams, repeated as often as they occur."""
-    rows, one = words(column, PUNCTUATION)
-    out_rows, out = [rows], [mix(one + np.uint64(1))]
+    """Rows and places of all words, stems, pairs and skip-grams, repeated as often as they occur."""
+    rows, (one, *short) = stems(column, PUNCTUATION, (None, *STEMS))
+    out_rows, out = [rows] * (1 + len(STEMS)), [mix(x + np.uint64(1 + 8 * i)) for i, x in enumerate((one, *short))]
     for gap in (1, 2):
         if len(rows) > gap:
             same = rows[gap:] == rows[:-gap]
