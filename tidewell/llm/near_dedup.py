@@ -9,10 +9,12 @@ Documents with equal sets collapse to one before that, so groups of copies cost
 a row. In every bucket the smallest document is the centre of a star, and only
 the edges of the star are candidates: their number is at most that of bucket
 entries. Candidates are confirmed on whole sets. Where a bucket's documents
-still lie in several components, a second pass holds those outside the bucket's
-largest component against the others, block by block: signatures discard what
-is far off, whole sets decide the rest. So no star hides a link between two of
-its leaves, and no bucket is capped.
+still lie in several components, those outside its largest component are held
+against all others of the bucket: in small buckets pairs whose signatures aren't
+far off are confirmed one by one; large buckets are cut into blocks, and whole
+sets of two blocks are compared at once, which gives only links, at most one
+from a document to a component. So no star hides a link between two of its
+leaves, no bucket is capped, and no group's pairs are listed.
 
 Defined cases: a text without words has an empty set and is linked with
 nothing; with fewer words than a shingle, the whole sequence is the one
@@ -39,10 +41,12 @@ from tidewell.storage import broadcast_if_small, materialize
 BINS = 128
 #: 32 bands of 4 bins: a pair at 0.8 shares no bucket with a probability of 5e-8.
 BAND = 4
-#: Signatures that agree in a share of bins this much below the threshold (about 4.5 deviations) are not looked into further.
-SLACK = 0.16
-#: Documents of a bucket that are compared at a time in the second pass.
-BLOCK = 256
+#: Signatures that agree in a share of bins this much below the threshold (four deviations) are not looked into further.
+SLACK = 0.14
+#: Documents of a large bucket that are compared at a time, and the most in a small one.
+BLOCK, SMALL = 256, 32
+#: Set members that are compared at a time.
+CELLS = 30_000
 
 
 @lru_cache(maxsize=1)
@@ -85,10 +89,10 @@ def _describe(size: int):
             sketch: list = [None] * n
             for j, i in enumerate(some):
                 keys[i] = xxhash.xxh3_128_digest(found[i].tobytes())
-                bands[i] = banded[j].view(np.int64)
+                bands[i] = banded[j].tobytes()
                 sketch[i] = low[j].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
@@ -112,72 +116,152 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with the given ids, one for each."""
+    ids = materialize(ids, "ids")
+    found = docs.join(broadcast_if_small(ids, 16), docs["doc_id"] == ids["id"], "left_semi")
+    return materialize(found.dropDuplicates(["doc_id"]), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are alike: 100 * intersection >= percent * union."""
-    needed = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.join(broadcast_if_small(needed, 16), docs["doc_id"] == needed["id"], "left_semi")
-    texts = materialize(texts, "texts")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return materialize(full.mapInArrow(_confirm(size, percent), "a bigint, b bigint"), "confirmed")
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
+        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BINS // BAND)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["id", "bucket"])
+
+
 def _across(agree: float):
-    """Pairs of two blocks of a bucket that lie in different components and whose signatures are near."""
+    """Pairs within a small bucket that lie in different components and whose signatures are near.
+
+    A pair that meets in several buckets comes from the first of them alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for row in batch.to_pylist():
+                side = sorted(row["members"], key=lambda m: m["id"])
+                ids, parts = np.array([m["id"] for m in side]), np.array([m["component"] for m in side])
+                sketches = np.frombuffer(b"".join(m["sketch"] for m in side), dtype=np.uint8).reshape(len(side), BINS)
+                bands = np.frombuffer(b"".join(m["bands"] for m in side), dtype=np.int64).reshape(len(side), -1)
+                for i in range(len(ids) - 1):
+                    near = ((sketches[i + 1 :] == sketches[i]).sum(axis=1) >= agree * BINS) & (parts[i + 1 :] != parts[i])
+                    near = near.nonzero()[0] + i + 1
+                    if len(near):
+                        near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == row["bucket"]]
+                    xs.append(np.full(len(near), ids[i]))
+                    ys.append(ids[near])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ys), pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _parts(found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Neighbouring sets with at most ``CELLS`` members together, or one alone."""
+    at = 0
+    while at < len(found):
+        end, size = at + 1, len(found[at])
+        while end < len(found) and size + len(found[end]) <= CELLS:
+            size += len(found[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every set on the right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for a, b in _parts(left):
+        for c, d in _parts(right):
+            sides = []
+            for found in (left[a:b], right[c:d]):
+                flat = np.concatenate(found)
+                sides.append((flat, np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            common = np.intersect1d(sides[0][0], sides[1][0])
+            grids = []
+            for (flat, owner), n in zip(sides, (b - a, d - c), strict=True):
+                at = np.searchsorted(common, flat)
+                hit = at < len(common)
+                hit[hit] = common[at[hit]] == flat[hit]
+                grid = np.zeros((n, len(common)), dtype=np.float32)
+                grid[owner[hit], at[hit]] = 1
+                grids.append(grid)
+            out[a:b, c:d] = np.rint(grids[0] @ grids[1].T)
+    return out
+
+
+def _between_blocks(size: int, percent: int):
+    """Links of two blocks of a bucket: for each document of the first, one to each other component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for row in batch.to_pylist():
-                one, other = (
-                    (np.array([m["id"] for m in side]), np.array([m["component"] for m in side]), np.frombuffer(b"".join(m["sketch"] for m in side), dtype=np.uint8).reshape(len(side), BINS))
-                    for side in (row["small"], row["block"])
-                )
-                xs, ys = [], []
-                for i in range(len(one[0])):
-                    near = (other[2] == one[2][i]).sum(axis=1) >= agree * BINS
-                    near &= other[1] != one[1][i]
-                    ys.append(other[0][near])
-                    xs.append(np.full(len(ys[-1]), one[0][i]))
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+                sides = []
+                for side in (row["small"], row["block"]):
+                    found = list(sets(*shingles(*words(pa.array([m["text"] for m in side], pa.string())), size), len(side)))
+                    sides.append((np.array([m["id"] for m in side]), np.array([m["component"] for m in side]), found, np.array([len(x) for x in found])))
+                (ids, parts, found, sizes), (others, other_parts, other_found, other_sizes) = sides
+                common = overlaps(found, other_found)
+                linked = 100 * common >= percent * (sizes[:, None] + other_sizes - common)
+                linked &= parts[:, None] != other_parts
+                for i in linked.any(axis=1).nonzero()[0]:
+                    y = linked[i].nonzero()[0]
+                    y = y[np.unique(other_parts[y], return_index=True)[1]]
+                    xs.append(np.full(len(y), ids[i]))
+                    ys.append(others[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ys), pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, agree: float) -> DataFrame:
-    """Candidates between components that share a bucket. entries: (bucket, id) of buckets with several documents."""
+def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket. entries: (bucket, id) of buckets with several documents."""
     placed = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1 and total > 2")
-    split = materialize(split.select("bucket", (-F.col("largest.col2")).alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "split-buckets")
-    members = placed.join(broadcast_if_small(split, 32), "bucket").join(reps.select("id", "sketch"), "id")
-    members = materialize(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "split-members")
-    member = F.struct("id", "component", "sketch")
-    blocks = members.groupBy("bucket", "block").agg(F.collect_list(member).alias("members"))
-    small = members.where("component <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("small")).drop("block")
-    met = small.join(blocks.select("bucket", F.col("members").alias("block")), "bucket").select("small", "block")
-    return met.mapInArrow(_across(agree), "a bigint, b bigint").distinct()
+    split = materialize(split.select("bucket", (-F.col("largest.col2")).alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), (F.col("total") > SMALL).alias("big")), "split-buckets")
+    members = materialize(placed.join(broadcast_if_small(split, 40), "bucket"), "split-members")
+
+    few = members.where("not big").join(reps.select("id", "sketch", "bands"), "id")
+    few = few.groupBy("bucket").agg(F.collect_list(F.struct("id", "component", "sketch", "bands")).alias("members"))
+    pairs = few.mapInArrow(_across(percent / 100 - SLACK), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+    found = confirmed(materialize(pairs, "pairs"), docs, size, percent)
+
+    many = members.where("big")
+    texts = texts_of(docs, many.select("id").distinct()).withColumnRenamed("doc_id", "id")
+    many = many.join(texts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    member = F.struct("id", "component", "text")
+    blocks = many.groupBy("bucket", "part").agg(F.collect_list(member).alias("block"))
+    small = many.where("component <> main").groupBy("bucket", "part").agg(F.collect_list(member).alias("small"))
+    met = small.drop("part").join(blocks.drop("part"), "bucket").select("small", "block")
+    return found.unionByName(materialize(met.mapInArrow(_between_blocks(size, percent), "a bigint, b bigint"), "links-between"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"), "signatures")
+    described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands binary, sketch binary"), "signatures")
     reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     reps = materialize(reps, "representatives")
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", "bands").mapInArrow(_entries, "id bigint, bucket bigint")
     centres = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
     centres = materialize(centres, "centres")
     shared = materialize(entries.join(broadcast_if_small(centres, 32), "bucket").select("bucket", "id", "centre"), "entries")
     pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, docs, size, percent)
     labels = components(links)
-    more = _left_over(shared.select("bucket", "id"), reps, labels, percent / 100 - SLACK)
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _left_over(shared.select("bucket", "id"), reps, labels, pairs, docs, size, percent)
     if more.limit(1).count():
-        found = confirmed(more, docs, size, percent)
-        if found.limit(1).count():
-            labels = components(links.unionByName(found))
+        labels = components(links.unionByName(more))
     classes = reps.join(labels, reps["id"] == labels["node"], "left").select(F.col("set_key").alias("of"), F.coalesce("component", "id").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("of"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
