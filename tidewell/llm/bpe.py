@@ -30,6 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.textvec import pieces
+
 #: Runs of so many characters without a change between blank and not are looked at apart.
 LONG = 4096
 #: Bytes of a run that are encoded in one go.
@@ -139,7 +141,7 @@ def _sent(spark: SparkSession, path: str) -> Broadcast:
 def _round_trip(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary.value)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, ids_hash, text_hash = [], [], []
             for text in batch.column(1):
                 ids = code.encode(text.as_py())
@@ -154,7 +156,7 @@ def _round_trip(vocabulary: Broadcast):
 def _ids(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -163,7 +165,7 @@ def _ids(vocabulary: Broadcast):
 def _texts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
     return run

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.textvec import mix, sets, shingles, words
+from tidewell.llm.textvec import mix, pieces, sets, shingles, words
 from tidewell.storage import broadcast_if_small, materialize
 
 BINS = 128
@@ -75,7 +75,7 @@ def signatures(found: list[np.ndarray]) -> np.ndarray:
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n = batch.num_rows
             found = list(sets(*shingles(*words(batch.column(1)), size), n))
             some = [i for i in range(n) if len(found[i])]
@@ -132,7 +132,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 4096):
         flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
         ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BINS // BAND)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["id", "bucket"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.textvec import BLANKS, _slices, raw
+from tidewell.llm.textvec import BLANKS, _slices, pieces, raw
 from tidewell.storage import materialize
 
 #: Permitted sequence lengths in tokens.
@@ -66,7 +66,7 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callabl
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         data, offs = raw(batch.column(1))
         counts = np.zeros(batch.num_rows, dtype=np.int64)
         for at, end in _slices(data, offs, BLANKS):
@@ -93,10 +93,10 @@ def pack(lengths: DataFrame, sizes: Sequence[int] = SIZES, cost: Callable[[int],
     """
     top = max(sizes)
     counted = lengths.select("doc_id", F.greatest(F.col("n_tokens").cast("long"), F.lit(1)).alias("total"))
-    pieces = counted.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {top}"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("total") - F.col("piece") * top).cast("int").alias("n_tokens"))
-    pieces = materialize(pieces.withColumn("nth", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-pieces.count() // group))
+    cut = counted.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {top}"))).alias("piece"))
+    cut = cut.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("total") - F.col("piece") * top).cast("int").alias("n_tokens"))
+    cut = materialize(cut.withColumn("nth", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-cut.count() // group))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "nth"], kind="stable", na_position="first", ignore_index=True)
@@ -106,7 +106,7 @@ def pack(lengths: DataFrame, sizes: Sequence[int] = SIZES, cost: Callable[[int],
         rows["bin_size"] = np.array(ends, dtype=np.int32)[bins]
         return rows[["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_size"]]
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("nth", "doc_id", "piece"), F.lit(groups)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("nth", "doc_id", "piece"), F.lit(groups)))
     return dealt.groupBy("part").applyInPandas(run, "doc_id bigint, piece bigint, start bigint, n_tokens int, bin_id bigint, bin_offset int, bin_size int")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.textvec import PUNCTUATION, mix, stems
+from tidewell.llm.textvec import PUNCTUATION, mix, pieces, stems
 from tidewell.storage import materialize
 
 BITS = 20
@@ -78,13 +78,13 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = []
     for batch in batches:
-        flat, offsets = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        seen += [(label, flat[a:b].copy()) for label, a, b in zip(batch.column(1).to_pylist(), offsets[:-1], offsets[1:], strict=True)]
+        offsets = batch.column(2).offsets.to_numpy()
+        seen.append((batch.column(1).to_pylist(), batch.column(2).flatten().to_numpy(), offsets - offsets[0]))
     model, bias = Ftrl(), np.array([1 << BITS])
-    for _ in range(EPOCHS if seen else 0):
-        for label, places in seen:
-            model.learn(np.append(places, bias), label)
+    for _ in range(EPOCHS if any(labels for labels, _, _ in seen) else 0):
+        for labels, places, offsets in seen:
+            for label, a, b in zip(labels, offsets[:-1], offsets[1:], strict=True):
+                model.learn(np.append(places[a:b], bias), label)
     w = model.weights(slice(None))
     at = w.nonzero()[0]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], names=["place", "weight"])
@@ -108,7 +108,7 @@ def _score(places: np.ndarray, weights: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((1 << BITS) + 1)
         table[places] = weights
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             text = batch.schema.get_field_index("text")
             sums = np.full(batch.num_rows, table[-1])
             for at in range(0, batch.num_rows, 256):
