@@ -73,3 +73,12 @@ def ship_code(spark: SparkSession, root: str) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Hand Python workers at most so many rows and bytes at a time, however long texts are."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        number = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < number <= most:
+            spark.conf.set(key, str(most))
