@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.textvec import pieces
+from tidewell.storage import bound_batches
 
 #: Runs of so many characters without a change between blank and not are looked at apart.
 LONG = 4096
@@ -134,6 +135,7 @@ def codec(content: str) -> Codec:
 
 def _sent(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file (a few MB) for all executors, which may not have it."""
+    bound_batches(spark)
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.llm.textvec import CODES, mix
-from tidewell.storage import materialize
+from tidewell.storage import bound_batches, materialize
 
 #: Phrases of these levels count; a level's phrases are about three of the one below.
 LEVELS = (2, 3, 4)
@@ -218,6 +218,7 @@ def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
+    bound_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

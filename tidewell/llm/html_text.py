@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.textvec import pieces
+from tidewell.storage import bound_batches
 
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z>])[^>]*(?:>|\Z)"""
@@ -357,4 +358,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
+    bound_batches(pages.sparkSession)
     return pages.select("page_id", "url", F.col("html").cast("string")).mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

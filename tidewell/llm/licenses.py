@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.textvec import pieces
+from tidewell.storage import bound_batches
 
 # Notices as the licences themselves ask for them, and short forms in common use.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -151,4 +152,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """A row for every confirmed licence block: its span in code points, the licence and the differences."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, "doc_id bigint, block_start bigint, block_end bigint, license string, gain double, words_missing bigint, words_extra bigint")

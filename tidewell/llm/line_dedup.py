@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import broadcast_if_small, materialize
+from tidewell.llm.textvec import pieces
+from tidewell.storage import bound_batches, broadcast_if_small, materialize
 
 BLANK = " \t\n\x0b\x0c\r"
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LINES = "line_hash binary, doc_id bigint, text_hash binary, n_lines int, positions array<int>"
 _MARKS = "kind string, " + _LINES
 
@@ -37,28 +37,27 @@ def text_hash() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def line_key(line: str) -> str:
-    return line.strip(BLANK).translate(_FOLD)
+def line_key(line: str, least: int) -> bytes | None:
+    """The line without blanks around it and with A-Z lower-cased; none if that is too short to count."""
+    inner = line.strip(BLANK)
+    return inner.encode().lower() if len(inner) >= least else None
 
 
 def _lines_of(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("line_hash", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.binary()), ("n_lines", pa.int32()), ("positions", pa.list_(pa.int32()))])
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 lines = (text.as_py() or "").split("\n")
                 at: dict[bytes, list[int]] = {}
                 for i, line in enumerate(lines):
-                    key = line_key(line)
-                    if len(key) >= least:
-                        at.setdefault(xxhash.xxh3_128_digest(key.encode()), []).append(i)
+                    key = line_key(line, least)
+                    if key is not None:
+                        at.setdefault(xxhash.xxh3_128_digest(key), []).append(i)
                 for h, positions in at.items():
                     for column, value in zip(out, (h, doc, of, len(lines), positions), strict=True):
                         column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
-                    out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -121,8 +120,10 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, partitions: int | None = None
     ``keep`` is a zlib-compressed bitmap with a bit for each line; documents
     that are not in the result keep all their lines.
     """
+    bound_batches(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash")).mapInArrow(_lines_of(least), _LINES)
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
+    lines = materialize(given.mapInArrow(_lines_of(least), _LINES), "lines")  # range partitioning reads it twice
     placed = lines.repartitionByRange(n, "line_hash", "doc_id").sortWithinPartitions("line_hash", "doc_id")
     marks = materialize(placed.mapInArrow(_stream, _MARKS), "line-marks")
     edges = marks.where("kind <> 'drop'")
@@ -136,7 +137,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, partitions: int | None = None
 
 def _apply(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n_lines, n_dropped, kept = [], [], []
             for text, bits in zip(batch.column("text"), batch.column("__keep"), strict=True):
                 lines = (text.as_py() or "").split("\n")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
 from tidewell.llm.textvec import mix, pieces, sets, shingles, words
-from tidewell.storage import broadcast_if_small, materialize
+from tidewell.storage import bound_batches, broadcast_if_small, materialize
 
 BINS = 128
 #: 32 bands of 4 bins: a pair at 0.8 shares no bucket with a probability of 5e-8.
@@ -248,6 +248,7 @@ def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: Da
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands binary, sketch binary"), "signatures")
     reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))

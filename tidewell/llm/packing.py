@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.textvec import BLANKS, _slices, pieces, raw
-from tidewell.storage import materialize
+from tidewell.storage import bound_batches, materialize
 
 #: Permitted sequence lengths in tokens.
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -82,6 +82,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens): words between white space, and one token for the document's end."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_words, "doc_id bigint, n_tokens bigint")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.textvec import PUNCTUATION, mix, pieces, stems
-from tidewell.storage import materialize
+from tidewell.storage import bound_batches, materialize
 
 BITS = 20
 #: Lengths of stems in bytes.
@@ -92,6 +92,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights learnt from labelled documents; ``where`` chooses rows of ``labels``."""
+    bound_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
     if where is not None:
         chosen = chosen.where(where)
