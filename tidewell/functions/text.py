@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -23,7 +24,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark SQL lacks."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
