@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.text import terms
+from tidewell.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -22,9 +23,10 @@ def postings(corpus: DataFrame, row: str = "corpus_row", text: str = "text") ->
     return flat.groupBy("corpus_row", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def statistics(corpus: DataFrame, text: str = "text") -> DataFrame:
+def statistics(corpus: DataFrame, posts: DataFrame) -> DataFrame:
     """One row: how many rows, and their mean number of terms."""
-    return corpus.select(F.size(terms(text)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    rows, total = corpus.agg(F.count("*").alias("n")), posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return rows.crossJoin(total).select("n", F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("avgdl"))  # one row each
 
 
 def inverse_frequencies(posts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -40,7 +42,8 @@ def scores(corpus: DataFrame, queries: DataFrame, allowed: DataFrame | None = No
 
     ``allowed`` (corpus_row) restricts rows; the statistics stay those of all.
     """
-    posts, stats = postings(corpus), statistics(corpus)
+    posts = materialize(postings(corpus), "postings")  # idf, lengths and scores all read them
+    stats = statistics(corpus, posts)
     asked = queries.select("query_id", F.explode(terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     idf = inverse_frequencies(posts, stats).join(asked.select("term").distinct(), "term", "left_semi")
     weighted = asked.join(idf, "term")

@@ -31,8 +31,8 @@ def words(text: Column) -> Column:
 
 def chunk_tokens(docs: DataFrame, size: int = TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, chunk_index, text) for every window of every text."""
-    chunks = docs.select("doc_id", F.posexplode(windows(words(F.col("text")), size, overlap)).alias("chunk_index", "text"))
-    return chunks.where(strip(F.col("text")) != "")
+    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.posexplode(windows(F.col("tokens"), size, overlap)).alias("chunk_index", "text"))
 
 
 def packed_sentences(text: Column, most: int) -> Column:

@@ -127,7 +127,7 @@ def assign_cells(corpus: DataFrame, centres: np.ndarray, probes: int = 1, key: s
     return rows.mapInArrow(run, f"{key} bigint, embedding {kind}, cell int")
 
 
-def search_cells(corpus: DataFrame, queries: DataFrame, k: int = 5, cells: int = 16, probes: int = 8) -> DataFrame:
+def search_cells(corpus: DataFrame, queries: DataFrame, k: int = 5, cells: int = 16, probes: int = 11) -> DataFrame:
     """Approximate cosine search: queries meet only the rows of their nearest cells, and are scored exactly there."""
     centres = build_cells(corpus, cells)
     rows = assign_cells(corpus, centres)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tidewell.functions import text as T
 from tidewell.operators import bm25, chunking, cleaning, corpus, hybrid, metrics, vectors
 from tidewell.sources import files
+from tidewell.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,7 +108,8 @@ def bm25_doc_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(_WITH + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     docs, _ = rows_and_questions(spark, d)
-    return bm25.inverse_frequencies(bm25.postings(docs), bm25.statistics(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    posts = materialize(bm25.postings(docs), "postings")
+    return bm25.inverse_frequencies(posts, bm25.statistics(docs, posts)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # Vector search
@@ -414,11 +416,10 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
     return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), F.substring("text", 1, 200).alias("text")))
 
 
-@query(_CONTEXT + "SELECT query_id, count(*)::INT AS n, string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS sources, round(sum(score), 4) AS total FROM top GROUP BY query_id")
+@query(_CONTEXT + "SELECT query_id, count(*)::INT AS n, string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS sources, max(score) AS best FROM top GROUP BY query_id")
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     listed = F.transform("contexts", lambda x: F.concat(F.lit("["), x["citation"], F.lit("]\n"), x["text"]))
-    total = F.round(F.aggregate("contexts", F.lit(0.0), lambda s, x: s + x["score"]), 4)
-    return _contexts(spark, d).select("query_id", "n", F.array_join(listed, "\n\n").alias("sources"), total.alias("total"))
+    return _contexts(spark, d).select("query_id", "n", F.array_join(listed, "\n\n").alias("sources"), F.col("contexts")[0]["score"].alias("best"))
 
 
 @query(

@@ -38,7 +38,7 @@ class _Outline(HTMLParser):
                     text = " ".join("".join(parts).split())
                     if name in self.HEADINGS:
                         self.starts.append((number, text[:200]))
-                    elif text:
+                    elif text and name in self.ITEMS:
                         self.blocks.append((number, name, text))
                 del self.open[i:]
                 return
@@ -49,9 +49,9 @@ class _Outline(HTMLParser):
         elif tag in self.HEADINGS or tag in self.ITEMS or tag in ("ul", "ol", "div", "section", "article", "table"):
             if any(x[0] == "p" for x in self.open):
                 self._close("p")
-            if tag == "li" and self.open and self.open[-1][0] == "li":
+            if tag == "li" and next((x[0] for x in reversed(self.open) if x[0] in ("li", "ul", "ol")), "") == "li":
                 self._close("li")
-            if tag in self.HEADINGS or tag in self.ITEMS:
+            if tag in self.HEADINGS or tag in self.ITEMS or tag in ("ul", "ol"):
                 self.number += 1
                 self.open.append((tag, self.number, []))
         for _, _, parts in self.open:
@@ -60,7 +60,7 @@ class _Outline(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skipped = max(0, self.skipped - 1)
-        elif tag in self.HEADINGS or tag in self.ITEMS:
+        elif tag in self.HEADINGS or tag in self.ITEMS or tag in ("ul", "ol"):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
