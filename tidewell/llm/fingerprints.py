@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.textvec import CODES, mix
+from tidewell.llm.textvec import CODES, mix, pieces
 from tidewell.storage import bound_batches, materialize
 
 #: Phrases of these levels count; a level's phrases are about three of the one below.
@@ -189,22 +189,18 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([doc], pa.int64()), *empty, pa.array([text], pa.string())], names=names)
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-            if not ids:
-                continue
-            if not seen:
-                seen = True
-                yield edge("head", ids[0], texts[0])
-            known = sketches([t.encode() for t in texts])
-            if held is not None:
-                ids, texts, known = [*held[0], *ids], [*held[1], *texts], np.concatenate([held[2], known])
-            held = (ids[-1:], texts[-1:], known[-1:])
-            if len(ids) > 1:
-                out = _describe(ids[:-1], texts[:-1], texts[1:], known[:-1], known[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(["row"] * (len(ids) - 1)), *out, pa.nulls(len(ids) - 1, pa.string())], names=names)
+    for part in pieces(batches):
+        ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        if not seen:
+            seen = True
+            yield edge("head", ids[0], texts[0])
+        known = sketches([t.encode() for t in texts])
+        if held is not None:
+            ids, texts, known = [*held[0], *ids], [*held[1], *texts], np.concatenate([held[2], known])
+        held = (ids[-1:], texts[-1:], known[-1:])
+        if len(ids) > 1:
+            out = _describe(ids[:-1], texts[:-1], texts[1:], known[:-1], known[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(["row"] * (len(ids) - 1)), *out, pa.nulls(len(ids) - 1, pa.string())], names=names)
     if held is not None:
         yield edge("tail", held[0][0], held[1][0])
 

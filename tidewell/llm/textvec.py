@@ -54,11 +54,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows, a few at a time, so that what a task makes of them stays small."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and of about ``size`` bytes of text, or one row alone.
+
+    What a task makes of a batch is many times its text, so this bounds a
+    worker's memory where long texts lie together.
+    """
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        total = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(total)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

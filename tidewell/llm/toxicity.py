@@ -65,14 +65,12 @@ class Ftrl:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows, places = features(part.column(2))
-            both = np.unique((rows << BITS) | places)
-            bounds = np.searchsorted(both >> BITS, np.arange(part.num_rows + 1))
-            values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(both & ((1 << BITS) - 1), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], names=["nth", "label", "places"])
+    for part in pieces(batches, 256):
+        rows, places = features(part.column(2))
+        both = np.unique((rows << BITS) | places)
+        bounds = np.searchsorted(both >> BITS, np.arange(part.num_rows + 1))
+        values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(both & ((1 << BITS) - 1), pa.int32()))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], names=["nth", "label", "places"])
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +107,13 @@ def _score(places: np.ndarray, weights: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((1 << BITS) + 1)
         table[places] = weights
-        for batch in pieces(batches, 2048):
-            text = batch.schema.get_field_index("text")
-            sums = np.full(batch.num_rows, table[-1])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, found = features(part.column(text))
-                hit = table[found] != 0
-                both = np.unique((rows[hit] << BITS) | found[hit])
-                sums[at : at + part.num_rows] += np.bincount(both >> BITS, weights=table[both & ((1 << BITS) - 1)], minlength=part.num_rows)
+        for part in pieces(batches, 256):
+            rows, found = features(part.column(part.schema.get_field_index("text")))
+            hit = table[found] != 0
+            both = np.unique((rows[hit] << BITS) | found[hit])
+            sums = table[-1] + np.bincount(both >> BITS, weights=table[both & ((1 << BITS) - 1)], minlength=part.num_rows)
             score = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(score)], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(score)], names=[*keep, "__score"])
 
     return run
 
