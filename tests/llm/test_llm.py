@@ -299,6 +299,8 @@ def test_bpe_as_the_library_does():
     code, library, rng = bpe.codec(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH), random.Random(11)
     texts = [t or "" for t in ODD] + made(12, 30) + ["a<|endoftext|>b <|endoftext|>", "it's we'll 'S", "  \n\t x", "é" * 3, "\u0085  a b"]
     texts += ["".join(rng.choice(alphabet) for _ in range(9000)) for alphabet in ("ab", "the ", "漢字", "!?", " \n", "12", "aé")]
+    runs = ["x" * 5000, "\n" * 4500, " " * 4400 + "\n", "!" * 4300, "é" * 4300, "\x1c" * 4200]
+    texts += [before + run + after for run in runs for before in ("a \n\n", "a\u00a0\u00a0", "a  \n", "  ", "b\r\n ") for after in ("", " \n\n", "  b", "\u3000c")]
     for text in texts:
         ids = library.encode(text, add_special_tokens=False).ids
         assert code.encode(text) == ids

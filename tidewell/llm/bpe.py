@@ -103,12 +103,19 @@ class Codec:
         if not self._long.search(text):
             return self.core._core_bpe.encode_ordinary(text)
         out: list[int] = []
-        at = 0
+        blanks: list[str] = []  # pieces of white space before the next one: what follows decides how they are parted
+        at = upto = 0
         for piece in self._piece.finditer(text):
             if piece.end() - piece.start() > LEAF // 4:
-                out += self.core._core_bpe.encode_ordinary(text[at : piece.start()]) if at < piece.start() else []
+                out += self.core._core_bpe.encode_ordinary(text[at:upto]) if at < upto else []
+                for blank in blanks:
+                    out += self._leaf(blank.encode())
                 out += self.tree(piece.group().encode())
-                at = piece.end()
+                blanks, at, upto = [], piece.end(), piece.end()
+            elif piece.group().isspace():
+                blanks.append(piece.group())
+            else:
+                blanks, upto = [], piece.end()
         return out + (self.core._core_bpe.encode_ordinary(text[at:]) if at < len(text) else [])
 
     def encode(self, text: str | None) -> list[int]:
