@@ -146,6 +146,7 @@ def test_near_duplicates(spark, size):
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 4)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4096)
     docs = list(enumerate(near_copies(5, 2, 70, 80, 14)))
     out = near_dedup.near_duplicates(frame(spark, docs).repartition(4), size=2)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == by_hand_components(docs, 2, 80)

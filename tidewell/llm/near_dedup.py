@@ -45,6 +45,8 @@ BAND = 4
 SLACK = 0.14
 #: Documents of a large bucket that are compared at a time, and the most in a small one.
 BLOCK, SMALL = 256, 32
+#: Bytes of text that make a block of a large bucket, where long texts come to that sooner.
+BLOCK_BYTES = 4 << 20
 #: Set members that are compared at a time.
 CELLS = 30_000
 
@@ -228,7 +230,7 @@ def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: Da
     placed = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1 and total > 2")
-    split = materialize(split.select("bucket", (-F.col("largest.col2")).alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), (F.col("total") > SMALL).alias("big")), "split-buckets")
+    split = materialize(split.select("bucket", (-F.col("largest.col2")).alias("main"), (F.col("total") > SMALL).alias("big")), "split-buckets")
     members = materialize(placed.join(broadcast_if_small(split, 40), "bucket"), "split-members")
 
     few = members.where("not big").join(reps.select("id", "sketch", "bands"), "id")
@@ -238,7 +240,10 @@ def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: Da
 
     many = members.where("big")
     texts = texts_of(docs, many.select("id").distinct()).withColumnRenamed("doc_id", "id")
-    many = many.join(texts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = many.join(texts.select("id", F.octet_length("text").cast("long").alias("bytes")), "id").groupBy("bucket")
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "block-counts")
+    many = many.join(broadcast_if_small(sizes, 16), "bucket").join(texts, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
     member = F.struct("id", "component", "text")
     blocks = many.groupBy("bucket", "part").agg(F.collect_list(member).alias("block"))
     small = many.where("component <> main").groupBy("bucket", "part").agg(F.collect_list(member).alias("small"))
