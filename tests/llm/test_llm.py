@@ -338,6 +338,38 @@ def test_licenses(spark):
     assert out[1].words_missing == out[1].words_extra > 0
 
 
+PROSE = "The river went down to the sea, and nobody knew why. It was a long year for all of us there. " * 9
+
+
+@pytest.mark.parametrize("nth", range(len(licenses.TEMPLATES)))
+def test_every_template_is_found_amid_prose(nth):
+    name, notice = licenses.TEMPLATES[nth]
+    text = PROSE + notice + " " + PROSE
+    found = [(a + x, a + y, *f) for a, b in licenses.blocks_of(text) for x, y, *f in licenses.identify(text[a:b])]
+    assert [(text[a:b], f[0], *f[2:]) for a, b, *f in found] == [(notice, name, 0, 0)]
+
+
+def test_several_notices_and_what_stands_beside_them(spark):
+    held = "Copyright (c) 2021 Jane Doe and the Example project contributors. All rights reserved. "
+    docs = [(0, held + "Released under the MIT License."), (1, held * 9 + "Licensed under CC BY 4.0. " + held * 9), (2, licenses.TEMPLATES[0][1] + "\n" + licenses.TEMPLATES[3][1]), (3, "\n".join(t for _, t in licenses.TEMPLATES)), (4, held)]
+    out = sorted(licenses.license_scan(frame(spark, docs)).collect())
+    names = {d: [r.license for r in out if r.doc_id == d] for d, _ in docs}
+    assert names == {0: ["MIT"], 1: ["CC-BY-4.0"], 2: ["MIT", "Apache-2.0"], 3: [n for n, _ in licenses.TEMPLATES], 4: []}
+    assert all(r.words_missing == r.words_extra == 0 for r in out)
+
+
+def test_alignment_is_the_cheapest():
+    rng = random.Random(15)
+    for _ in range(200):
+        own, words = ([rng.choice("abcd") for _ in range(rng.randrange(1, most))] for most in (6, 9))
+        common = lambda w: max(len(c) for k in range(len(own) + 1) for c in itertools.combinations(own, k) if (it := iter(w)) and all(x in it for x in c))  # noqa: B023, E731
+        costs = {(a, b): licenses.LACK * (len(own) - (c := common(words[a:b]))) + b - a - c for a in range(len(words)) for b in range(a + 1, len(words) + 1)}
+        found = licenses.align(own, words)
+        assert all(costs[a, b] == licenses.LACK * lacks + b - a - (len(own) - lacks) for a, b, lacks in found)
+        if any(costs[s] == 0 for s in costs):
+            assert any(costs[a, b] == 0 for a, b, _ in found)
+
+
 # 8
 
 

@@ -1,24 +1,29 @@
 """License scans (operator 7) by conditional compression.
 
-Sentences and lines that speak of licences, and what lies between two that are
-near each other, make candidate blocks. A block is compressed alone and with
-each template as the raw dictionary of zstandard; templates are ranked by how
-much smaller that makes it. The first ``TRIED`` are then held against the block
-word by word, and the one with the fewest differences wins if it is confirmed:
-at least ``COVERED`` of its words must be there, in order.
+Sentences and lines that speak of licences, what lies between two that are near
+each other and ``GAP_CHARS`` around them make candidate blocks. In a block each
+template that can be there by its counts of words is aligned with all of it,
+word by word: a span that costs least for words it lacks and has besides begins
+at each place. A span is confirmed if at least ``COVERED`` of the template's
+words are there, in order, and zstandard with the template as raw dictionary
+makes the span, not the block, smaller by ``LEAST_GAIN``. Of confirmed spans
+that overlap, the one that agrees most wins; what the winners leave of the
+block is searched again, until nothing more is confirmed.
 
 Defined cases: null and empty texts have no blocks; repeated rows repeat their
 results; blocks are read whole, however long. A block that no template confirms
-gives no row. Ties go to the template first in the list.
+gives no row, one with several notices a row for each. Ties go to the template
+first in the list.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -59,14 +64,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 KEYWORDS = ("licens", "licenc", "copyright", "creative commons", "public domain", "warrant", "redistribut", "hereby granted", "free software", "waived", "as is\"", "noninfringement", "liable for")
 #: Sentences in between, and code points, over which candidates join.
 GAP_UNITS, GAP_CHARS = 3, 400
-TRIED, LEAST_GAIN, COVERED = 4, 0.2, 0.8
+LEAST_GAIN, COVERED = 0.2, 0.8
+#: What a word that a span lacks costs in words that it has besides: a span may grow so far before its gain falls below the least.
+LACK = round(1 / LEAST_GAIN) - 1
 
 _UNIT = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[^\W_]+")
+_CLOSE = re.compile(r"[^\w\s]*")
 
 
 def blocks_of(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate blocks."""
+    """Spans of candidate blocks, ``GAP_CHARS`` around them included."""
     low = text.lower()
     if len(low) != len(text):  # some characters grow in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -86,7 +94,18 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
             else:
                 out.append([a, b])
             nth, last = n, b
-    return [(a + len(text[a:b]) - len(text[a:b].lstrip()), b) for a, b in out]
+    wide: list[list[int]] = []
+    for a, b in out:
+        a, b = max(0, a - GAP_CHARS), min(len(text), b + GAP_CHARS)
+        while 0 < a and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        if wide and a <= wide[-1][1]:
+            wide[-1][1] = b
+        else:
+            wide.append([a, b])
+    return [(a, b) for a, b in wide]
 
 
 def _places(text: str, key: str) -> Iterator[int]:
@@ -111,29 +130,71 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompres
 
 
 @lru_cache(maxsize=1)
-def _template_words() -> list[list[str]]:
-    return [_words(t) for _, t in TEMPLATES]
+def _template_words() -> list[tuple[list[str], Counter]]:
+    return [(w, Counter(w)) for w in (_words(t) for _, t in TEMPLATES)]
 
 
-@lru_cache(maxsize=4096)
-def identify(block: str) -> tuple[str, float, int, int] | None:
-    """Licence of a block, its relative gain, and how many words it lacks and has besides."""
-    words = _words(block)
+def _gain(words: list[str], nth: int) -> float:
+    """How much smaller the template makes the words, relative to their size without it."""
     flat = " ".join(words).encode()
     alone, given = _compressors()
     size = len(alone.compress(flat))
-    gains = [(size - len(c.compress(flat))) / size for c in given]
-    ranked = sorted(range(len(gains)), key=lambda i: (-gains[i], i))[:TRIED]
-    best = None
-    for i in ranked:
-        if gains[i] < LEAST_GAIN:
-            break
-        own = _template_words()[i]
-        common = sum(m.size for m in SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks())
-        lacks, more = len(own) - common, len(words) - common
-        if common >= COVERED * len(own) and (best is None or lacks + more < best[2] + best[3]):
-            best = (TEMPLATES[i][0], round(gains[i], 4), lacks, more)
-    return best
+    return (size - len(given[nth].compress(flat))) / size
+
+
+def align(own: list[str], words: list[str]) -> list[tuple[int, int, int]]:
+    """(start, end, words missing) of the cheapest span of ``words`` for ``own`` from each start, if enough is there.
+
+    Costs are the least over all alignments, a row of the table at a time.
+    """
+    n = len(words)
+    at = np.arange(n + 1, dtype=np.int64)
+    cost, start, missing = np.zeros(n + 1, np.int64), at.copy(), np.zeros(n + 1, np.int64)
+    number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
+    for w in own:
+        met = (ids == number[w]).nonzero()[0]
+        met = met[cost[met] <= cost[met + 1] + LACK]
+        cost_, start_, missing_ = cost + LACK, start.copy(), missing + 1
+        cost_[met + 1], start_[met + 1], missing_[met + 1] = cost[met], start[met], missing[met]
+        best = np.minimum.accumulate((cost_ - at) * (n + 1) + (n - at))
+        of = n - best % (n + 1)
+        cost, start, missing = cost_[of] + at - of, start_[of], missing_[of]
+    found: dict[int, tuple[int, int, int]] = {}
+    for end in (len(own) - missing >= COVERED * len(own)).nonzero()[0].tolist():
+        key = int(start[end])
+        if key not in found or cost[end] < found[key][0]:
+            found[key] = (int(cost[end]), end, int(missing[end]))
+    return [(a, b, lacks) for a, (_, b, lacks) in found.items() if a < b]
+
+
+@lru_cache(maxsize=4096)
+def identify(block: str) -> tuple[tuple[int, int, str, float, int, int], ...]:
+    """Notices in a block: span, licence, relative gain, and how many words each lacks and has besides."""
+    places = [m.span() for m in _WORD.finditer(block)]
+    words = [block[a:b].lower() for a, b in places]
+    todo, out = [(0, len(words))], []
+    while todo:
+        low, high = todo.pop()
+        part = words[low:high]
+        held = Counter(part)
+        found = []
+        for i, (own, counts) in enumerate(_template_words()):
+            if sum(min(k, held[w]) for w, k in counts.items()) >= COVERED * len(own):
+                for a, b, lacks in align(own, part):
+                    common = len(own) - lacks
+                    found.append((lacks - common, b - a - common, i, a, b, lacks))
+        taken: list[tuple[int, int]] = []
+        for _, more, i, a, b, lacks in sorted(found):
+            if all(b <= x or y <= a for x, y in taken):
+                gain = _gain(part[a:b], i)
+                if gain >= LEAST_GAIN:
+                    taken.append((a, b))
+                    out.append((places[low + a][0], _CLOSE.match(block, places[low + b - 1][1]).end(), TEMPLATES[i][0], round(gain, 4), lacks, more))
+        if taken:
+            edges = [0, *(x for span in sorted(taken) for x in span), len(part)]
+            todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+    return tuple(sorted(out))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +203,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             whole = text.as_py() or ""
             for a, b in blocks_of(whole):
-                found = identify(whole[a:b])
-                if found is not None:
-                    rows.append((doc, a, b, *found))
+                rows += [(doc, a + x, a + y, *found) for x, y, *found in identify(whole[a:b])]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "block_start", "block_end", "license", "gain", "words_missing", "words_extra"])
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """A row for every confirmed licence block: its span in code points, the licence and the differences."""
+    """A row for every confirmed notice: its span in code points, the licence and the differences."""
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, "doc_id bigint, block_start bigint, block_end bigint, license string, gain double, words_missing bigint, words_extra bigint")
