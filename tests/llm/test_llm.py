@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm import bpe, fingerprints, html_text, licenses, line_dedup, near_dedup, packing, search, sharding, textvec, toxicity
+from tidewell.llm import bpe, fingerprints, html_text, licenses, line_dedup, near_dedup, packing, queries, search, sharding, textvec, toxicity
 
 BLANK = " \t\n\x0b\x0c\r"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -222,6 +222,20 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_by_the_vocabulary_cuts_texts_without_blanks(spark, tmp_path):
+    rng, library = random.Random(16), Tokenizer.from_file(PATH)
+    long = ["".join(rng.choice(alphabet) for _ in range(30_000)) for alphabet in ("漢字日本語文", "ABCDxyz0189+/", "ab")]
+    docs = list(enumerate([*ODD, *made(17, 20), *long, "antidisestablishmentarianism " * 2000]))
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op3_best_fit_packing(spark, str(tmp_path)).collect()
+    wanted = {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in docs}
+    assert max(wanted.values()) > packing.SIZES[-1]
+    for d, n in wanted.items():
+        held = sorted((r.start, r.n_tokens) for r in out if r.doc_id == d)
+        assert held == [(a, min(8192, n - a)) for a in range(0, n, 8192)]
+    assert all(r.bin_offset + r.n_tokens <= r.bin_size <= 8192 for r in out)
+
+
 # 4
 
 

@@ -171,6 +171,15 @@ def _ids(vocabulary: Broadcast):
     return run
 
 
+def _counts(vocabulary: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codec(vocabulary.value)
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(code.encode(t.as_py())) for t in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
+
+    return run
+
+
 def _texts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary.value)
@@ -185,6 +194,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_ids(_sent(docs.sparkSession, path)), "doc_id bigint, ids array<int>")
 
 
+def counts(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens): how many ids ``encode`` gives for every row of ``docs`` (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counts(_sent(docs.sparkSession, path)), "doc_id bigint, n_tokens bigint")
+
+
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) for every row of ``tokens`` (doc_id, ids)."""
     return tokens.select("doc_id", F.col("ids").cast("array<int>")).mapInArrow(_texts(_sent(tokens.sparkSession, path)), "doc_id bigint, text string")

@@ -1,6 +1,9 @@
 """Best-fit packing (operator 3) of documents into sequences of several permitted lengths.
 
-Documents are cut into pieces no longer than the largest sequence. Pieces are
+Lengths are the ids that a vocabulary file gives for a text, and one for its end;
+without a vocabulary, words between white space stand for tokens, which says
+nothing of texts without blanks. Documents are cut, at token positions, into
+pieces no longer than the largest sequence. Pieces are
 dealt by a hash into groups of about ``group`` pieces, and each group is packed
 on its own: longest piece first, into the open bin with the least room that
 holds it. Where none does, a bin of the permitted length that costs least for a
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm import bpe
 from tidewell.llm.textvec import BLANKS, _slices, pieces, raw
 from tidewell.storage import bound_batches, materialize
 
@@ -80,8 +84,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int64())], names=["doc_id", "n_tokens"])
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): words between white space, and one token for the document's end."""
+def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens): ids by the vocabulary file, or words between white space, and one token for the document's end."""
+    if vocabulary is not None:
+        return bpe.counts(docs, vocabulary).withColumn("n_tokens", F.col("n_tokens") + 1)
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_words, "doc_id bigint, n_tokens bigint")
 
@@ -111,5 +117,5 @@ def pack(lengths: DataFrame, sizes: Sequence[int] = SIZES, cost: Callable[[int],
     return dealt.groupBy("part").applyInPandas(run, "doc_id bigint, piece bigint, start bigint, n_tokens int, bin_id bigint, bin_offset int, bin_size int")
 
 
-def pack_documents(docs: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
-    return pack(token_counts(docs), sizes)
+def pack_documents(docs: DataFrame, sizes: Sequence[int] = SIZES, vocabulary: str | None = None) -> DataFrame:
+    return pack(token_counts(docs, vocabulary), sizes)
