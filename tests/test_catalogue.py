@@ -45,3 +45,17 @@ def test_has_rows(spark, name):
 def test_vectors_of_neighbouring_cells_are_mostly_found(spark):
     found = catalogue.ann_recall(spark, SF).toPandas()
     assert found["recall"].mean() >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_whole_passages_reach_contexts_and_prompts(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    found = {}
+    for r in catalogue.bm25.best(catalogue.bm25.scores(*catalogue.rows_and_questions(spark, SF)), 3).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.corpus_row))
+    listed = {q: "\n\n".join(f"[{docs[x].source} > {docs[x].lang}]\n{docs[x].text}" for _, x in sorted(rows)) for q, rows in found.items()}
+    assert max(len(docs[x].text) for rows in found.values() for _, x in rows) > 200
+    assert {r.query_id: r.sources for r in catalogue.QUERIES["context_assembly_whole"](spark, SF).collect()} == listed
+    wanted = {q: f"Answer from the sources below and cite them.\n\nSources:\n{x}\n\nQuestion: {asked[q].strip()}" for q, x in listed.items()}
+    assert {r.query_id: r.prompt for r in catalogue.QUERIES["prompt_build_whole"](spark, SF).collect()} == wanted

@@ -409,17 +409,27 @@ top AS (SELECT r.query_id, r.rank, r.score, d.source || ' > ' || d.lang AS citat
 """
 
 
-def _contexts(spark: SparkSession, d: str) -> DataFrame:
+def _contexts(spark: SparkSession, d: str, passage: str = "substring(text, 1, 200)") -> DataFrame:
     docs = table(spark, d, "documents")
     found = bm25.best(bm25.scores(*rows_and_questions(spark, d)), 3)
     label = T.citation(F.lit("html"), F.lit(None).cast("string"), F.col("source"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.col("lang"))
-    return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), F.substring("text", 1, 200).alias("text")))
+    return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), F.expr(passage).alias("text")))
+
+
+def _sources(contexts: DataFrame) -> DataFrame:
+    listed = F.transform("contexts", lambda x: F.concat(F.lit("["), x["citation"], F.lit("]\n"), x["text"]))
+    return contexts.select("query_id", "n", F.array_join(listed, "\n\n").alias("sources"), F.col("contexts")[0]["score"].alias("best"))
 
 
 @query(_CONTEXT + "SELECT query_id, count(*)::INT AS n, string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS sources, max(score) AS best FROM top GROUP BY query_id")
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    listed = F.transform("contexts", lambda x: F.concat(F.lit("["), x["citation"], F.lit("]\n"), x["text"]))
-    return _contexts(spark, d).select("query_id", "n", F.array_join(listed, "\n\n").alias("sources"), F.col("contexts")[0]["score"].alias("best"))
+    return _sources(_contexts(spark, d))
+
+
+@query()
+def context_assembly_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``context_assembly`` with whole passages, of which its SQL keeps 200 characters."""
+    return _sources(_contexts(spark, d, "text"))
 
 
 @query(
@@ -432,6 +442,13 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return _contexts(spark, d).join(questions, "query_id").select("query_id", T.prompt(F.col("text"), F.col("contexts")).alias("prompt"))
 
 
+@query()
+def prompt_build_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``prompt_build`` with whole passages, of which its SQL keeps 200 characters."""
+    _, questions = rows_and_questions(spark, d)
+    return _contexts(spark, d, "text").join(questions, "query_id").select("query_id", T.prompt(F.col("text"), F.col("contexts")).alias("prompt"))
+
+
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN CASE WHEN trim(text) = '' THEN text ELSE trim(text) END ELSE text END AS variants FROM conversations""")
 def rewrite_parse(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "conversations")
