@@ -59,3 +59,23 @@ def test_whole_passages_reach_contexts_and_prompts(spark):
     assert {r.query_id: r.sources for r in catalogue.QUERIES["context_assembly_whole"](spark, SF).collect()} == listed
     wanted = {q: f"Answer from the sources below and cite them.\n\nSources:\n{x}\n\nQuestion: {asked[q].strip()}" for q, x in listed.items()}
     assert {r.query_id: r.prompt for r in catalogue.QUERIES["prompt_build_whole"](spark, SF).collect()} == wanted
+
+
+def test_change_detection_sees_every_row(spark, tmp_path):
+    from collections import Counter
+    from hashlib import sha256
+
+    docs = [(i, f"text {i % 37}", f"src{3 + i % 3 if i % 4 else 5}") for i in range(90)] + [(90, None, "src5"), (91, None, "src5")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(s, sha256((t or "").encode()).hexdigest()) for _, t, s in docs]
+    last, count = dict(rows), Counter(s for s, _ in rows)
+    assert min(count.values()) > 10
+    wanted = []
+    for s, checksum in rows:
+        if s.endswith("3"):
+            wanted.append((s + "-new", "changed", "insert", 1))
+        elif s.endswith("5") and checksum == last[s]:
+            wanted.append((s, checksum, "skip", count[s]))
+        else:
+            wanted.append((s, checksum if s.endswith("5") else "changed", "bump", count[s] + 1))
+    assert sorted(map(tuple, catalogue.QUERIES["change_detection_whole"](spark, str(tmp_path)).collect())) == sorted(wanted)

@@ -510,6 +510,15 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
     return corpus.changes(stored, arriving)
 
 
+@query()
+def change_detection_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every row arrives and is held against all stored versions; the SQL of ``change_detection`` stores ten of each source."""
+    stored = versions(spark, d)
+    name = F.concat("document", F.when(F.col("document").like("%3"), "-new").otherwise(""))
+    arriving = stored.select(name.alias("document"), F.when(F.col("document").like("%5"), F.col("checksum")).otherwise("changed").alias("checksum"))
+    return corpus.changes(stored, arriving)
+
+
 # Measures and limits
 
 
