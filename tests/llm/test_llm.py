@@ -282,6 +282,18 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "The & title\nFirst paragraph, with a link <and> more.\nShort.\none\ntwo\nThe end of the text."
 
 
+TALE = "".join(f"<p>The river went down to the sea, and nobody knew why it did so in year {i}.</p>" for i in range(6))
+SAID = '<div class="comments">' + "".join(f'<div class="comment"><p>I think that this is a very good tale, and I have read it {i} times by now.</p></div>' for i in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize("said", ["", SAID])
+@pytest.mark.parametrize("start", ["<div class='layout has-sidebar'>", "<div class=no-sidebar>", "<div class='share-enabled'>", "<div id='search-results'>", "<div class='entry discussion'>", "<article class='post comments-open'>", "<article class=discussion>"])
+def test_a_wrapper_named_for_something_else_keeps_its_article(start, said):
+    page = f"<body><nav><a href=x>Home</a></nav><div class='sidebar'><p>The most read pieces of this week are here for you.</p></div>{start}<h1>The tale</h1>{TALE}<form><p>Your mail address, please.</p></form></{start[1:].split()[0]}>{said}</body>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines == ["The tale", *(f"The river went down to the sea, and nobody knew why it did so in year {i}." for i in range(6))]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- x", "<script>a", "&#xZZ;", "<p>" * 3000, "<div><a href='" * 50])
 def test_broken_pages_have_a_result(page):
     assert isinstance(html_text.main_text(page), str)

@@ -9,6 +9,11 @@ one parent, are tied by smoothness edges, the stronger the nearer they are in
 the tree; no edge leads into an element that can't be content. The minimum cut
 is the cheapest labelling, and blocks on its content side are the text.
 
+Words of a class or id that say boilerplate or replies cost the less, the more
+of the page's text their element holds, so a wrapper named for what stands
+beside the article (a search page, a layout with a sidebar) keeps it. Compound
+names of states (has-sidebar, comments-open) say neither.
+
 Defined cases: a null or empty page has empty text; text that isn't closed goes
 on to the page's end; scripts, styles and other raw text never make blocks;
 unknown character references stay as written; white space of any kind, ``br``
@@ -58,6 +63,8 @@ _BAD = frozenset(
     "subscribe subscription signup breadcrumb breadcrumbs pagination pager paging menu menus navbar nav navigation popup modal overlay lightbox share sharing social related recommended recommendations sidebar "
     "footer widget widgets login search toolbar skip feedback poll survey donate paywall".split()
 )
+#: Words that make a compound name one of a state of the page, and not of what an element holds.
+_STATES = frozenset("has have no not non with without is are enabled disabled enable disable open opened closed off on allowed available supported".split())
 #: Words that say what readers wrote, also where it lies in an article of its own.
 _REPLIES = frozenset("comment comments disqus respond reply replies discussion".split())
 #: Words that say so for elements outside the main article, and weakly inside it.
@@ -68,6 +75,30 @@ _PHRASE = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bs
 
 #: Capacity of one unit of cost.
 UNIT = 1000
+#: Log-odds of a block below a small element that is marked as no content.
+VETO = -9.0
+#: A mark's weight is (1 - share ** power) ** EDGE, where share is how much of the page's text its element holds.
+POWERS, EDGE = {"bad": 2, "replies": 3}, 4
+
+
+class Mark:
+    """An element whose class, id or role says boilerplate or replies, and the marks around it."""
+
+    __slots__ = ("above", "nth", "kinds", "box", "held", "all", "within", "replies")
+
+    def __init__(self, above: Mark | None, nth: int, kinds: tuple, box: int):
+        self.above, self.nth, self.kinds, self.box, self.held = above, nth, kinds, box, 0.0
+        self.all = self.within = self.replies = 1.0
+
+    def weigh(self, total: float) -> None:
+        """What is left of the odds below: by all marks, by those within the box, by replies."""
+        share = min(self.held / total, 1.0) if total else 0.0
+        left = {kind: 1.0 - (1.0 - share ** POWERS[kind]) ** EDGE for kind in self.kinds}
+        bad, replies = left.get("bad", 1.0), left.get("replies", 1.0)
+        up = self.above
+        self.all = bad * replies * (up.all if up else 1.0)
+        self.within = bad * (up.within if up and up.box == self.box else 1.0)
+        self.replies = replies * (up.replies if up else 1.0)
 
 
 class Block:
@@ -77,9 +108,9 @@ class Block:
         self.text, self.links, self.tag, self.parent, self.depth, self.state = text, links, tag, parent, depth, state
 
 
-def _marks(name: str, attributes: str) -> tuple[int, int, int, bool]:
-    """Whether words of class, id and role say bad, poor or good, and whether the element can't be content."""
-    bad = poor = good = 0
+def _marks(name: str, attributes: str) -> tuple[int, int, int, int, bool]:
+    """Whether words of class, id and role say bad, replies, poor or good, and whether the element can't be content."""
+    bad = replies = poor = good = apart = 0
     unseen = False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
@@ -98,27 +129,33 @@ def _marks(name: str, attributes: str) -> tuple[int, int, int, bool]:
         elif key == "itemprop":
             good |= value.lower() in ("articlebody", "text")
         else:
-            found = {x.lower() for x in _PARTS.findall(value)}
-            bad |= bool(found & _BAD)
-            unseen |= bool(found & _REPLIES) and name not in ("body", "html", "main")
-            poor |= bool(found & _POOR)
-            good |= bool(found & _GOOD)
-    return int(bad), int(poor), int(good), unseen
+            for word in value.split():
+                found = {x.lower() for x in _PARTS.findall(word)}
+                state = len(found) > 1 and not found.isdisjoint(_STATES)
+                said = not found.isdisjoint(_REPLIES) and not state
+                bad |= not found.isdisjoint(_BAD) and not state
+                replies |= said and name not in ("body", "html", "main")
+                poor |= not found.isdisjoint(_POOR)
+                good |= not found.isdisjoint(_GOOD)
+                apart |= not found.isdisjoint(_GOOD) and not said
+    if replies and apart:  # an entry of discussion, say
+        bad, replies = 1, 0
+    return int(bad), int(replies), int(poor), int(good), unseen
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order.
 
-    A block's state is (never, bad before its box, poor before, box, bad within,
-    poor within, good, element that shuts it off); its box is the innermost
-    article or main element around it.
+    A block's state is (never, innermost mark, poor before its box, box, poor
+    within, good, element that shuts it off); its box is the innermost article
+    or main element around it.
     """
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    blank = (False, 0, 0, 0, 0, 0, 0, 0)
+    blank = (False, None, 0, 0, 0, 0, 0)
     stack: list[tuple[str, int, tuple]] = [("", 0, blank)]  # name, number of the nearest block element, state
-    numbers = links = 0
+    numbers = links = marks = 0
 
     def flush() -> None:
         nonlocal linked
@@ -202,25 +239,28 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i]
                     break
         _, number, state = stack[-1]
-        never, bad_out, poor_out, box, bad_in, poor_in, good, shut = state
+        never, mark, poor_out, box, poor_in, good, shut = state
         if block or attributes:
-            bad, poor, fine, unseen = _marks(name, attributes) if attributes and not attributes.isspace() and name not in ("html", "body") else (0, 0, 0, False)
+            bad, replies, poor, fine, unseen = _marks(name, attributes) if attributes and not attributes.isspace() and name not in ("html", "body") else (0, 0, 0, 0, False)
             if name == "header":
                 poor = 1
-            if name in ("article", "main") or fine and not bad and block and "role" in attributes:
+            if bad or replies:
+                marks += 1
+                mark = Mark(mark, marks, ("bad",) * bad + ("replies",) * replies, box)
+            if name in ("article", "main") or fine and not bad and not replies and block and "role" in attributes:
                 numbers += 1
-                box, bad_out, poor_out, bad_in, poor_in = numbers, bad_out + bad_in + bad, poor_out + poor_in + poor, 0, 0
+                box, poor_out, poor_in = numbers, poor_out + poor_in + poor, 0
             else:
-                bad_in, poor_in = bad_in + bad, poor_in + (poor and not bad)
+                poor_in += poor and not bad
             good += fine
             if name in _NEVER or unseen:
                 never = True
             if block:
                 numbers += 1
                 number = numbers
-            if name in _NEVER or unseen or bad:
+            if name in _NEVER or unseen or bad or replies:
                 shut = numbers = numbers + 1
-            state = (never, bad_out, poor_out, box, bad_in, poor_in, good, shut)
+            state = (never, mark, poor_out, box, poor_in, good, shut)
         stack.append((name, number, state))
         links += name == "a"
     flush()
@@ -229,10 +269,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def content_score(block: Block, main: int, boxes: bool) -> float:
     """The classifier: log-odds that a block is content. Weights are fixed, not learnt."""
-    never, bad_out, poor_out, box, bad_in, poor_in, good, _ = block.state
+    never, mark, poor_out, box, poor_in, good, _ = block.state
     own = box == main and main > 0
-    if never or bad_in or bad_out and not own:
-        return -9.0
+    if never:
+        return VETO
     n = block.text.count(" ") + 1
     share = block.links / len(block.text)
     score = 0.7 * math.log1p(n) - 1.2 - 3.0 * share
@@ -248,7 +288,13 @@ def content_score(block: Block, main: int, boxes: bool) -> float:
         score -= 3.0
     if n < 30 and _PHRASE.search(block.text) and not own:
         score -= 1.5
-    return score
+    left = 1.0 if mark is None else _within(block) * mark.replies if own else mark.all
+    return left * score + (1.0 - left) * VETO
+
+
+def _within(block: Block) -> float:
+    mark = block.state[1]
+    return mark.within if mark is not None and mark.box == block.state[3] else 1.0
 
 
 def minimum_cut(gain: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
@@ -321,24 +367,51 @@ def minimum_cut(gain: list[int], ties: list[tuple[int, int, int]]) -> list[bool]
             v = to[path[-1]]
 
 
+def _weigh(blocks: list[Block]) -> None:
+    """Weigh all marks: by the page's text, then by what of it that leaves, so that many small replies don't make an article small."""
+    seen: dict[int, Mark] = {}
+    size = [0.0 if b.state[0] else float(len(b.text) - b.links) for b in blocks]
+    for b in blocks:
+        mark = b.state[1]
+        while mark is not None and mark.nth not in seen:
+            seen[mark.nth] = mark
+            mark = mark.above
+    order = [seen[nth] for nth in sorted(seen)]
+    for _ in range(2 if order else 0):
+        for mark in order:
+            mark.held = 0.0
+        left = [n * (b.state[1].all if b.state[1] is not None else 1.0) for n, b in zip(size, blocks, strict=True)]
+        for n, b in zip(left, blocks, strict=True):
+            if b.state[1] is not None:
+                b.state[1].held += n
+        for mark in reversed(order):
+            if mark.above is not None:
+                mark.above.held += mark.held
+        total = sum(left)
+        for mark in order:
+            mark.weigh(total)
+
+
 def label(blocks: list[Block]) -> list[bool]:
     """Content or not, for every block of a page."""
-    held: dict[int, int] = {}
+    _weigh(blocks)
+    held: dict[int, float] = {}
     for b in blocks:
-        never, _, _, box, bad_in, _, _, _ = b.state
-        if box and not never and not bad_in:
-            held[box] = held.get(box, 0) + len(b.text) - b.links
+        never, mark, _, box, *_ = b.state
+        if box and not never:
+            left = _within(b) * (mark.replies if mark is not None else 1.0)
+            held[box] = held.get(box, 0.0) + left * (len(b.text) - b.links)
     main = max(held, key=lambda x: (held[x], -x)) if held else 0
     gain = [round(UNIT * content_score(b, main, bool(held))) for b in blocks]
     ties: list[tuple[int, int, int]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        if i and b.state[7] == blocks[i - 1].state[7]:
+        if i and b.state[6] == blocks[i - 1].state[6]:
             a = blocks[i - 1]
             near = 1.0 if a.parent == b.parent else 0.8 if a.depth == b.depth else 0.4
             ties.append((i - 1, i, round(UNIT * near)))
         before = last.get(b.parent)
-        if before is not None and before < i - 1 and b.state[7] == blocks[before].state[7]:
+        if before is not None and before < i - 1 and b.state[6] == blocks[before].state[6]:
             ties.append((before, i, UNIT))
         last[b.parent] = i
     return minimum_cut(gain, ties)
