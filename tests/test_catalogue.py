@@ -79,3 +79,27 @@ def test_change_detection_sees_every_row(spark, tmp_path):
         else:
             wanted.append((s, checksum if s.endswith("5") else "changed", "bump", count[s] + 1))
     assert sorted(map(tuple, catalogue.QUERIES["change_detection_whole"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_normalizing_composes(spark, tmp_path):
+    import re
+    import unicodedata
+
+    def by_hand(text):
+        text = unicodedata.normalize("NFKC", (text or "").replace("\x00", ""))
+        text = re.sub(r"(\w)-\n(\w)", r"\1\2", text).replace("\r\n", "\n").replace("\r", "\n")
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+
+    texts = [None, "", " \n", "\ufb01ne \ufb02ow o\ufb03ce", "\uff21\uff22\uff23\uff11 \uff5e", "a\u00a0\u00a0b\u2003c", "e\u0301te\u0301", "exam-\nple \ufb01-\n\ufb01", "\u00bd \u2460 \u212b \u2126 x\u00b2", "a\r\n\r\n\r\nb\rc", "\u3000\uac01 \u1100\u1161\u11a8\u3000", "\uff76\uff9e\x00", "a \t\u2009 b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in catalogue.QUERIES["normalize_text_nfkc"](spark, str(tmp_path)).collect()}
+    assert got == {i: by_hand(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+def test_normalizing_composes_whole_tables(spark):
+    import unicodedata
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in catalogue.QUERIES["normalize_text_nfkc"](spark, SF).collect()}
+    assert got.keys() == docs.keys() and all(unicodedata.is_normalized("NFKC", t) for t in got.values())

@@ -303,6 +303,12 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.normalize("text", compose=False).alias("text"))
 
 
+@query()
+def normalize_text_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    """``normalize_text`` with the NFKC step, which DuckDB SQL can't express."""
+    return table(spark, d, "documents").select("doc_id", T.normalize("text").alias("text"))
+
+
 @query(r"SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM documents")
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.sanitize("text").alias("text"))
