@@ -469,7 +469,7 @@ def test_fingerprints(spark):
 def by_hand_search(docs, every, k):
     split = lambda t: [w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (t or "").translate(FOLD)).split(" ") if w]
     found = [(d, Counter(split(t))) for d, t in docs]
-    n, mean = len(docs), max(1.0, sum(sum(c.values()) for _, c in found) / len(docs))
+    n, mean = len(docs), sum(sum(c.values()) for _, c in found) / len(docs)
     df = Counter(w for _, c in found for w in c)
     out = {}
     for q, asked in found:
@@ -494,13 +494,47 @@ def test_search_is_exact(spark, monkeypatch, dense):
     assert dict(out) == by_hand_search(docs, 10, 7)
     monkeypatch.setattr(search, "DENSE", dense)
     monkeypatch.setattr(search, "BLOCK", 4)
-    rows, terms = textvec.words(pa.array([t for _, t in docs], pa.string()), textvec.PUNCTUATION)
-    batch = search._shard([np.arange(len(docs))], [search._counted(rows, terms)])
+    monkeypatch.setattr(search, "SHORT", 3)
+    made_of = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array([t for _, t in docs], pa.string())], names=["doc_id", "text"])
+    (batch,) = search._build(iter([made_of]))
     shard = search.Shard({x: batch.column(x)[0].as_buffer() for x in batch.schema.names[3:]}, 30.0)
-    asked = [(np.unique(terms[rows == q]), np.ones(len(np.unique(terms[rows == q])))) for q in (20, 50, 90)]
-    full = list(shard.search(asked, np.zeros(3), len(docs)))
-    few = list(shard.search(asked, np.zeros(3), 5))
+    names = shard.terms.to_pylist()
+    asked = [(np.array([names.index(w.encode()) for w in set(words_of(docs[q][1]))  if w.encode() in names]), None) for q in (20, 50, 90)]
+    asked = [(at, np.linspace(1, 2, len(at))) for at, _ in asked]
+    found = np.arange(len(names))
+    full = list(shard.search(found, asked, np.zeros(3), len(docs)))
+    few = list(shard.search(found, asked, np.zeros(3), 5))
     assert [(a[:5].tolist(), b[:5].tolist()) for a, b in full] == [(a.tolist(), b.tolist()) for a, b in few]
+    shard.seen[:] = 0
+    again = list(shard.search(found, asked, np.array([b[-1] for _, b in few]), 5))
+    assert [(a.tolist(), b.tolist()) for a, b in again] == [(a.tolist(), b.tolist()) for a, b in few]
+    assert shard.seen[1] < shard.seen[0] and shard.seen[3] < shard.seen[2]
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+
+
+@pytest.mark.parametrize(
+    "docs",
+    [
+        [(0, "apple pie"), (1, "banana"), (2, "apple"), (3, ""), (4, None)],
+        [(0, THUE_MORSE), (1, THUE_MORSE.translate(str.maketrans("ab", "ba"))), (2, "a b " + THUE_MORSE)],
+        [(0, "one"), *((i, None) for i in range(1, 30))],
+        [(0, "same words here"), (7, "same words here"), (3, "same words here"), (50, "words")],
+        [(0, " ".join(f"t{i}" for i in range(30_000)) + " x" * 200_000), (1, "t7 x"), (2, "y")],
+    ],
+)
+def test_search_of_few(spark, docs):
+    out = defaultdict(list)
+    for r in search.search_documents(frame(spark, docs).withColumn("term", F.lit("t")).withColumn("score", F.lit(0)).repartition(3)).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.rank, r.doc_id, r.score))
+    assert dict(out) == by_hand_search(docs, 50, 10)
+
+
+def test_search_with_repeated_and_null_ids(spark):
+    docs = [(0, "a b c"), (1, "a"), (1, "a b"), (None, "a b c"), (None, None)]
+    out = [(r.query_id, r.doc_id) for r in search.search_documents(frame(spark, docs)).orderBy("query_id", "rank").collect()]
+    assert out == [(0, 0), (0, 1), (0, 1)]
 
 
 def test_search_of_nothing(spark):

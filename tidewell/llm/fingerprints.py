@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.textvec import CODES, mix, pieces
+from tidewell.llm.textvec import mix, pieces
 from tidewell.storage import bound_batches, materialize
 
 #: Phrases of these levels count; a level's phrases are about three of the one below.
 LEVELS = (2, 3, 4)
 BINS = 64
 #: Hex digits that a fingerprint keeps of each name.
-DIGITS = 4
+DIGITS = 8
 #: Bytes of text that are parsed together.
 CHUNK = 1 << 20
 
+#: A random odd number for each byte, and for each place in a phrase.
+CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _STEP = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -95,7 +97,10 @@ def _level(symbols: np.ndarray, starts: np.ndarray, codes: np.ndarray | None) ->
     begins = top.nonzero()[0]
     sizes = np.diff(begins, append=len(labels))
     inside = np.arange(len(labels)) - np.repeat(begins, sizes)
-    sums = np.add.reduceat(names * _STEP[np.minimum(inside, 63)], begins)
+    step = _STEP[np.minimum(inside, 63)]
+    far = (inside > 63).nonzero()[0]
+    step[far] = mix(inside[far].astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    sums = np.add.reduceat(names * step, begins)
     return mix(sums + sizes.astype(np.uint64)), np.searchsorted(begins, first)
 
 
@@ -105,7 +110,7 @@ def names_by_level(texts: list[bytes], levels: int = max(LEVELS)) -> list[tuple[
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     symbols = np.frombuffer(b"".join(texts), dtype=np.uint8)
     out = []
-    codes: np.ndarray | None = CODES_EXACT
+    codes: np.ndarray | None = CODES
     for _ in range(levels):
         symbols, starts = _level(symbols, starts, codes)
         codes = None
@@ -114,11 +119,6 @@ def names_by_level(texts: list[bytes], levels: int = max(LEVELS)) -> list[tuple[
     return out
 
 
-#: As the codes of words, but upper case apart.
-CODES_EXACT = CODES.copy()
-CODES_EXACT[65:91] = mix(CODES[65:91]) | np.uint64(1)
-
-
 def sketches(texts: list[bytes]) -> np.ndarray:
     """A row of ``BINS`` short names for each text; 0 where a range of names has none."""
     out = np.zeros((len(texts), BINS), dtype=np.uint64)
@@ -145,7 +145,7 @@ def sketches(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprint(row: np.ndarray) -> str:
-    return row.astype(">u2").tobytes().hex()
+    return row.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

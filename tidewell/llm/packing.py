@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe
-from tidewell.llm.textvec import BLANKS, _slices, pieces, raw
+from tidewell.llm.textvec import BLANKS, bounds, pieces, raw
 from tidewell.storage import bound_batches, materialize
 
 #: Permitted sequence lengths in tokens.
@@ -73,14 +73,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         data, offs = raw(batch.column(1))
         counts = np.zeros(batch.num_rows, dtype=np.int64)
-        for at, end in _slices(data, offs, BLANKS):
-            inner = ~BLANKS[data[at:end]]
-            edge = offs[np.searchsorted(offs, at, side="left") : np.searchsorted(offs, end, side="left")] - at
-            first = inner.copy()
-            first[1:] &= ~inner[:-1]
-            first[edge] = inner[edge]
-            rows = np.searchsorted(offs, first.nonzero()[0] + at, side="right") - 1
-            counts += np.bincount(rows, minlength=batch.num_rows)
+        for at, _, starts, _ in bounds(data, offs, BLANKS):
+            counts += np.bincount(np.searchsorted(offs, starts + at, side="right") - 1, minlength=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int64())], names=["doc_id", "n_tokens"])
 
 

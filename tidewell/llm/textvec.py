@@ -1,22 +1,21 @@
-"""Hashes of words and shingles, computed over whole Arrow batches with NumPy.
+"""Words of texts, computed over whole Arrow batches.
 
-A word's hash is a polynomial over its bytes, taken from one running sum for
-all words of a slice, so no Python object is made for a word. Slices hold
-about ``SLICE`` bytes and end between words: memory doesn't grow with a text.
+Words become codes of a dictionary, which Arrow builds from their bytes, so
+within a batch equal codes mean equal words and nothing else. Between batches
+words are known by 128 bits of xxh3, taken once for each distinct word. Slices
+of texts hold about ``SLICE`` bytes and end between words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,14 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _codes() -> np.ndarray:
-    """A random odd number for each byte, the same for A-Z as for a-z."""
-    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-    codes[65:91] = codes[97:123]
-    return codes
+def _lower() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] = table[97:123]
+    return table
 
 
-CODES = _codes()
+#: A-Z to a-z; all other bytes stay.
+LOWER = _lower()
 
 #: Only [\x20\x09-\x0D] parts words.
 BLANKS = np.zeros(256, dtype=bool)
@@ -46,14 +45,6 @@ PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, dtype=np.uint64)
-    down = np.full(n, _INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows`` and of about ``size`` bytes of text, or one row alone.
 
@@ -110,82 +101,114 @@ def _slices(data: np.ndarray, offs: np.ndarray, parts: np.ndarray) -> Iterator[t
         at = end
 
 
-def words(column: pa.Array, parts: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
-    """For every word, in order: the row it is in, and the hash of its bytes with A-Z lower-cased."""
-    rows, hashes = stems(column, parts, (None,))
-    return rows, hashes[0]
-
-
-def stems(column: pa.Array, parts: np.ndarray, sizes: Sequence[int | None]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """As ``words``, but for each of ``sizes`` the hashes of no more than so many bytes from each word's start."""
-    data, offs = raw(column)
-    rows: list[np.ndarray] = []
-    hashes: list[list[np.ndarray]] = [[] for _ in sizes]
+def bounds(data: np.ndarray, offs: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slice by slice: where it begins, which of its bytes are in words, and where its words start and end."""
     for at, end in _slices(data, offs, parts):
-        piece = data[at:end]
-        inner = ~parts[piece]
+        inner = ~parts[data[at:end]]
         edge = offs[np.searchsorted(offs, at, side="left") : np.searchsorted(offs, end, side="left")] - at
         first = inner.copy()
         first[1:] &= ~inner[:-1]
         first[edge] = inner[edge]
-        starts = first.nonzero()[0]
-        if not len(starts):
-            continue
         last = inner.copy()
         last[:-1] &= ~inner[1:]
         before = edge[edge > 0] - 1
         last[before] = inner[before]
-        ends = last.nonzero()[0] + 1
-        up, down = _powers(SLICE if len(piece) <= SLICE else len(piece))
-        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(CODES[piece] * up[: len(piece)], out=sums[1:])
-        for size, out in zip(sizes, hashes, strict=True):
-            upto = ends if size is None else np.minimum(starts + size, ends)
-            out.append(mix((sums[upto] - sums[starts]) * down[starts]))
+        starts = first.nonzero()[0]
+        if len(starts):
+            yield at, inner, starts, last.nonzero()[0] + 1
+
+
+def coded(column: pa.Array, parts: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For every word, in order, the row it is in and its code; and the words (A-Z lower-cased) by code."""
+    data, offs = raw(column)
+    rows, chunks = [], []
+    for at, inner, starts, ends in bounds(data, offs, parts):
+        flat = LOWER[data[at : at + len(inner)][inner]]
+        offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(ends - starts, out=offsets[1:])
+        chunks.append(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]))
         rows.append(np.searchsorted(offs, starts + at, side="right") - 1)
     if not rows:
-        return np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64) for _ in sizes]
-    return np.concatenate(rows), [np.concatenate(out) for out in hashes]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], pa.large_binary())
+    found = pa.concat_arrays(chunks).dictionary_encode()
+    return np.concatenate(rows), found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def names(distinct: pa.Array) -> np.ndarray:
+    """128 bits for each word, as two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in distinct.to_pylist()]), dtype=np.uint64).reshape(-1, 2)
+
+
+def words(column: pa.Array, parts: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """For every word, in order: the row it is in, and 64 bits of its name."""
+    rows, codes, distinct = coded(column, parts)
+    return rows, names(distinct)[codes, 0]
 
 
-def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def stems(column: pa.Array, parts: np.ndarray, sizes: Sequence[int | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As ``words``, but for each of ``sizes`` the hashes of no more than so many bytes from each word's start."""
+    rows, codes, distinct = coded(column, parts)
+    found = distinct.to_pylist()
+    return rows, [np.array([xxhash.xxh3_64_intdigest(w[:size]) for w in found], dtype=np.uint64)[codes] for size in sizes]
+
+
+def _runs(rows: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Where runs of ``size`` words begin, and for each place in a run where its word is and whether there is one.
+
+    A row with fewer words has its whole sequence as one run.
+    """
+    n = len(rows)
+    whole = np.zeros(n, dtype=bool)
+    if n >= size:
+        whole[: n - size + 1] = rows[: n - size + 1] == rows[size - 1 :]
+    first = np.ones(n, dtype=bool)
+    first[1:] = rows[1:] != rows[:-1]
+    starts = first.nonzero()[0]
+    first[starts] = np.diff(starts, append=n) < size
+    begins = (whole | first).nonzero()[0]
+    places = []
+    for k in range(size):
+        at = np.minimum(begins + k, n - 1)
+        places.append((at, (begins + k < n) & (rows[at] == rows[begins])))
+    return begins, places
+
+
+_STEPS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_NONE = np.uint64(0x8EBC6AF09C88C6E3)
+
+
+def shingles(rows: np.ndarray, hashes: np.ndarray, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of ``size`` words; a row with fewer words has its whole sequence as one.
 
-    The rows of the result ascend, as those of ``words`` do.
+    The rows of the result ascend, as those of ``words`` do. Two lanes of the
+    words' names give 128 bits of a run's name.
     """
-    if not len(rows):
-        return rows, hashes
-    step = np.uint64(0xA0761D6478BD642F)
-    folded = mix(hashes + np.uint64(size))
-    n = len(rows) - size + 1
-    if n > 0:
-        whole = folded[:n].copy()
-        for k in range(1, size):
-            whole = mix(whole * step + hashes[k : k + n])
-        good = rows[:n] == rows[size - 1 :]
-        out_rows, out = rows[:n][good], whole[good]
-    else:
-        out_rows, out = rows[:0], hashes[:0]
-    counts = np.bincount(rows)
-    few = ((counts > 0) & (counts < size)).nonzero()[0]
-    if len(few):
-        begins = np.searchsorted(rows, few)
-        whole = folded[begins]
-        for k in range(1, size - 1):
-            more = counts[few] > k
-            whole[more] = mix(whole[more] * step + hashes[begins[more] + k])
-        whole = mix(whole ^ counts[few].astype(np.uint64))
-        out_rows, out = np.concatenate([out_rows, few]), np.concatenate([out, whole])
-        order = np.argsort(out_rows, kind="stable")
-        out_rows, out = out_rows[order], out[order]
-    return out_rows, out
+    begins, places = _runs(rows, size)
+    out = np.full(len(begins), size, dtype=np.uint64)
+    for at, there in places if len(begins) else ():
+        out = mix(out * _STEPS[lane] + np.where(there, hashes[at], _NONE))
+    return rows[begins], out
+
+
+def numbered(rows: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, but with numbers that are equal for equal runs of codes and for no others: nothing is hashed."""
+    begins, places = _runs(rows, size)
+    if not len(begins):
+        return rows, codes
+    none = int(codes.max()) + 1
+    out = codes[begins]
+    for k, (at, there) in enumerate(places[1:]):
+        if k:  # products of two numbers under 2**31 fit into 63 bits
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * (none + 1) + np.where(there, codes[at], none)
+    return rows[begins], out
 
 
 def sets(rows: np.ndarray, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each of ``n`` rows its distinct hashes, ascending."""
-    bounds = np.searchsorted(rows, np.arange(n + 1))
+    at = np.searchsorted(rows, np.arange(n + 1))
     for i in range(n):
-        part = np.sort(hashes[bounds[i] : bounds[i + 1]])
+        part = np.sort(hashes[at[i] : at[i + 1]])
         if len(part) > 1:
             fresh = np.empty(len(part), dtype=bool)
             fresh[0] = True
