@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: A side of a join is sent to every executor up to this many bytes; beyond that it is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: Keys that more rows than this have don't go through a shuffle with them; there are at most rows / OFTEN of them.
+OFTEN = 100_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -67,6 +70,22 @@ def broadcast_if_small(df: DataFrame, width: Column | int, most: int = BROADCAST
     return F.broadcast(df) if total <= most else df
 
 
+def join_often(rows: DataFrame, table: DataFrame, key: str, often: DataFrame, width: Column | int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``key`` is unique. ``often`` (key) lists keys that very many rows have.
+
+    What the table has for those, ``width`` bytes a row, is sent to where the
+    rows are if it is small, so that their rows aren't brought into one task.
+    All inputs should be materialized tables.
+    """
+    if often.isEmpty():
+        return rows.join(broadcast_if_small(table, width), key)
+    few = broadcast_if_small(often, 16)
+    hot = table.join(few, key, "left_semi")
+    there = rows.join(broadcast_if_small(hot, width), key)
+    here = rows.join(few, key, "left_anti").join(broadcast_if_small(table, width), key)
+    return there.unionByName(here)
+
+
 def ship_code(spark: SparkSession, root: str) -> None:
     """Let Python workers import packages from ``root``."""
     env: dict[str, Any] = spark.sparkContext.environment
