@@ -41,6 +41,9 @@ def made(seed, n, vocabulary=60, longest=60):
 ODD = [None, "", " \n ", "a", "A  b", "x" * 5000, "\n\n\n"]
 
 
+THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+
+
 # Hashes
 
 
@@ -159,6 +162,50 @@ def test_overlaps(monkeypatch):
     assert near_dedup.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
 
 
+def test_words_with_equal_polynomials_are_not_linked(spark):
+    docs = [(1, THUE_MORSE), (2, THUE_MORSE.translate(str.maketrans("ab", "ba"))), (3, THUE_MORSE.upper())]
+    out = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("often", [3, 25])
+def test_hubs_and_one_hot_bucket(spark, monkeypatch, often):
+    from tidewell.llm import components
+
+    monkeypatch.setattr(near_dedup, "OFTEN", often)
+    monkeypatch.setattr(components, "OFTEN", often)
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    texts = near_copies(23, 1, 120, 80, 20) + ["one text that has copies"] * 40 + near_copies(24, 3, 20, 30, 6) + ODD
+    docs = list(enumerate(texts))
+    out = near_dedup.near_duplicates(frame(spark, docs).withColumn("component", F.lit(0)).repartition(4), size=2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == by_hand_components(docs, 2, 80)
+
+
+def test_short_and_very_long_texts_are_compared_whole(spark):
+    rng = random.Random(25)
+    long = [f"l{rng.randrange(10**6)}" for _ in range(200_000)]
+    near = [w if rng.random() < 0.97 else "changed" for w in long]
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:100_000])), (4, "a b c d e"), (5, "a b c d"), (6, "a b c d f"), (7, "A  b c d")]
+    out = near_dedup.near_duplicates(frame(spark, docs).repartition(3), size=5).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == by_hand_components(docs, 5, 80)
+
+
+def test_exact_shingles_are_those_of_the_words():
+    texts = [*ODD, *made(26, 30, vocabulary=9, longest=12)]
+    for size in (1, 2, 3, 5):
+        found = near_dedup.exact_sets(pa.array(texts, pa.string()), size)
+        by_number = {}
+        for t, own in zip(texts, found, strict=True):
+            w = words_of(t)
+            runs = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+            assert len(own) == len(runs) == len(near_dedup.named_sets(pa.array([t], pa.string()), size)[0][0])
+            by_number[frozenset(runs)] = frozenset(own.tolist())
+        assert len(set(by_number.values())) == len(by_number)
+        for a, b in itertools.combinations(by_number, 2):
+            assert len(a & b) == len(by_number[a] & by_number[b])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     out = near_dedup.near_duplicates(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, None)])).collect()
@@ -511,9 +558,6 @@ def test_search_is_exact(spark, monkeypatch, dense):
     assert shard.seen[1] < shard.seen[0] and shard.seen[3] < shard.seen[2]
 
 
-THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
-
-
 @pytest.mark.parametrize(
     "docs",
     [

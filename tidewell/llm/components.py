@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import materialize
+from tidewell.storage import OFTEN, broadcast_if_small, join_often, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours, then the
     label of that label, so that chains shorten by half. Labels are written to
-    the shared folder after each round. Defined cases: links of a node to
+    the shared folder after each round. The label of a node with very many links
+    is sent to its neighbours' tasks. Defined cases: links of a node to
     itself and repeated links change nothing; without links, no rows.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
+    nodes = materialize(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "nodes")
+    hubs = nodes.where(F.col("n") > OFTEN).select(F.col("a").alias("b"))
+    labels = nodes.select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        of = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        fresh = materialize(lower.join(of, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        moved = fresh.where("component <> old").limit(1).count()
-        labels = fresh.select("node", "component")
-        if not moved:
-            return labels
+        near = join_often(both, labels.withColumnRenamed("node", "b"), "b", hubs, 32).groupBy("a").agg(F.min("component").alias("low"))
+        lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component")), "lower")
+        # Labels that have a lower one themselves: few, as most are the smallest node of a star.
+        of = lower.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("further"))
+        of = materialize(of.join(lower.select("component").distinct(), "component", "left_semi"), "further")
+        labels = materialize(lower.join(broadcast_if_small(of, 32), "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")), "labels")
+        if labels.where("component <> old").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")
