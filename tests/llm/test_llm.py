@@ -414,12 +414,75 @@ def test_licenses(spark):
 PROSE = "The river went down to the sea, and nobody knew why. It was a long year for all of us there. " * 9
 
 
-@pytest.mark.parametrize("nth", range(len(licenses.TEMPLATES)))
+@pytest.mark.parametrize("nth", range(len(licenses.ALL)))
 def test_every_template_is_found_amid_prose(nth):
-    name, notice = licenses.TEMPLATES[nth]
+    name, notice = licenses.ALL[nth]
     text = PROSE + notice + " " + PROSE
-    found = [(a + x, a + y, *f) for a, b in licenses.blocks_of(text) for x, y, *f in licenses.identify(text[a:b])]
-    assert [(text[a:b], f[0], *f[2:]) for a, b, *f in found] == [(notice, name, 0, 0)]
+    assert [(text[a:b], *f[:1], *f[2:]) for a, b, *f in licenses.notices(text)] == [(notice, name, 0, 0)]
+
+
+def plain_scan(text):
+    """All templates over all of the text: no blocks, no ranks."""
+    words = licenses._words(text)
+    out, todo = [], [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        part, found, taken = words[low:high], [], []
+        for i, (_, notice) in enumerate(licenses.ALL):
+            own = licenses._words(notice)
+            for a, b, lacks in licenses.align(own, part):
+                if b - a <= 2 * len(own) and licenses.Template(notice).tells(part[a:b]) and licenses._gain(part[a:b], i) >= licenses.LEAST_GAIN:
+                    found.append((lacks - (len(own) - lacks), b - a - (len(own) - lacks), i, a, b, lacks))
+        for _, more, i, a, b, lacks in sorted(found):
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                out.append((low + a, low + b, licenses.ALL[i][0], lacks, more))
+        edges = [0, *(x for span in sorted(taken) for x in span), len(part)]
+        todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if taken and a < b]
+    return sorted(out)
+
+
+def test_licence_scan_of_a_table_is_that_of_a_plain_scan(spark, tmp_path):
+    rng = random.Random(30)
+    texts = list(ODD)
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = licenses.ALL[rng.randrange(len(licenses.ALL))][1].split() if rng.random() < 0.6 else PROSE.split()[: rng.randrange(40)]
+            words = [w for w in words if rng.random() > 0.04]
+            for _ in range(rng.randrange(3)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["the", "license", "Jane", "software", "2", "MIT", "as", "is"]))
+            parts.append(" ".join(words))
+        texts.append(rng.choice([" ", ".\n", "\n\n"]).join(parts))
+    docs = [*enumerate(texts), (3, texts[-1]), (None, texts[-2])]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_license_scan(spark, str(tmp_path)).collect()
+    wanted = Counter((d, name, lacks, more) for d, t in docs for _, _, name, lacks, more in plain_scan(t or ""))
+    assert Counter((r.doc_id, r.license, r.words_missing, r.words_extra) for r in out) == wanted and sum(wanted.values()) > 40
+    assert all(0 <= r.block_start < r.block_end for r in out)
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: MIT */", ["MIT"]),
+        ("Mozilla Public License 2.0", ["MPL-2.0"]),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["GPL-3.0"]),
+        ("Released under the Foo License.", []),
+        ("Licensed under CC BY-NC-ND 4.0.", []),
+        ("Copyright is held by all of us, and nobody may license it.", []),
+    ],
+)
+def test_what_names_a_licence_and_what_does_not(text, names):
+    assert [x[2] for x in licenses.notices(text)] == names
+
+
+def test_a_long_text_is_scanned_to_its_end(spark):
+    text = PROSE * 300 + licenses.TEMPLATES[0][1] + PROSE * 300 + "Licensed under CC BY 4.0."
+    out = licenses.license_scan(frame(spark, [(1, text)]).withColumn("gain", F.lit("x"))).collect()
+    assert [r.license for r in out] == ["MIT", "CC-BY-4.0"] and out[1].block_end == len(text)
+    assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
 def test_several_notices_and_what_stands_beside_them(spark):

@@ -1,23 +1,26 @@
 """License scans (operator 7) by conditional compression.
 
-Sentences and lines that speak of licences, what lies between two that are near
-each other and ``GAP_CHARS`` around them make candidate blocks. In a block each
-template that can be there by its counts of words is aligned with all of it,
-word by word: a span that costs least for words it lacks and has besides begins
-at each place. A span is confirmed if at least ``COVERED`` of the template's
-words are there, in order, and zstandard with the template as raw dictionary
-makes the span, not the block, smaller by ``LEAST_GAIN``. Of confirmed spans
-that overlap, the one that agrees most wins; what the winners leave of the
-block is searched again, until nothing more is confirmed.
+Candidate blocks are the stretches of a text that can hold a template at all: in
+a window of twice the template's words, enough of its words are there. This
+rules out nothing that could be confirmed. Each block is compressed by
+zstandard alone and with every template as raw dictionary; templates are ranked
+by how many bytes they save for each of their own. In that order each is
+aligned with the block, word by word, and confirmed by its exact differences: at
+least ``COVERED`` of its words are there, in order, no word that tells licences
+apart differs, and the span itself, not the block, gets smaller by
+``LEAST_GAIN``. A confirmed span is cut out, and what is left of the block is
+searched again, until no template is confirmed; none is given up for its rank.
 
 Defined cases: null and empty texts have no blocks; repeated rows repeat their
-results; blocks are read whole, however long. A block that no template confirms
-gives no row, one with several notices a row for each. Ties go to the template
-first in the list.
+results; texts are read whole, however long. A block that no template confirms
+gives no row, one with several notices a row for each. Of spans that overlap the
+one that agrees most wins, then the template first in the list. An empty table
+gives no rows; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -60,61 +63,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 )
 
-#: A sentence with one of these, in lower case, may belong to a licence.
-KEYWORDS = ("licens", "licenc", "copyright", "creative commons", "public domain", "warrant", "redistribut", "hereby granted", "free software", "waived", "as is\"", "noninfringement", "liable for")
-#: Sentences in between, and code points, over which candidates join.
-GAP_UNITS, GAP_CHARS = 3, 400
+#: Licences by their SPDX tags and the names in which texts speak of them; fixed values.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("MIT", "The MIT License"), ("Apache-2.0", "Apache License Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"),
+    ("GPL-2.0", "GNU General Public License Version 2"), ("GPL-3.0", "GNU General Public License Version 3"), ("LGPL-2.1", "GNU Lesser General Public License Version 2.1"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+)
+TAGS = tuple(dict.fromkeys(name for name, _ in TEMPLATES))
+ALL = (*TEMPLATES, *TITLES, *((tag, f"SPDX-License-Identifier: {tag}") for tag in TAGS))
+
 LEAST_GAIN, COVERED = 0.2, 0.8
 #: What a word that a span lacks costs in words that it has besides: a span may grow so far before its gain falls below the least.
 LACK = round(1 / LEAST_GAIN) - 1
+#: Words that tell licences apart: they must be in a span as they are in the template. Numbers count where a licence is only named.
+TELLING = frozenset("mit apache bsd isc gnu gpl lgpl agpl lesser library affero mozilla mpl cc cc0 unlicense creative commons attribution sharealike noncommercial noderivatives noderivs nc sa nd by zero public".split())
+NAMED = 24
+#: Words of ordinary prose, which say nothing of where a template may be.
+COMMON = frozenset("a an and any are as at be by for from if in is it its may no not of on or out so that the this to under was with you".split())
 
-_UNIT = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[^\W_]+")
 _CLOSE = re.compile(r"[^\w\s]*")
 
 
-def blocks_of(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate blocks, ``GAP_CHARS`` around them included."""
-    low = text.lower()
-    if len(low) != len(text):  # some characters grow in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(k in low for k in KEYWORDS):
-        return []
-    hits = sorted({i for k in KEYWORDS for i in _places(low, k)})
-    out: list[list[int]] = []
-    nth = last = 0
-    h = 0
-    for n, unit in enumerate(_UNIT.finditer(text)):
-        a, b = unit.span()
-        while h < len(hits) and hits[h] < a:
-            h += 1
-        if h < len(hits) and hits[h] < b:
-            if out and n - nth <= GAP_UNITS and a - last <= GAP_CHARS:
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-            nth, last = n, b
-    wide: list[list[int]] = []
-    for a, b in out:
-        a, b = max(0, a - GAP_CHARS), min(len(text), b + GAP_CHARS)
-        while 0 < a and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        if wide and a <= wide[-1][1]:
-            wide[-1][1] = b
-        else:
-            wide.append([a, b])
-    return [(a, b) for a, b in wide]
-
-
-def _places(text: str, key: str) -> Iterator[int]:
-    at = text.find(key)
-    while at >= 0:
-        yield at
-        at = text.find(key, at + 1)
-
-
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -125,21 +96,77 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompres
         shape = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=shape)
 
-    raw = [zstandard.ZstdCompressionDict(" ".join(_words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in TEMPLATES]
+    raw = [zstandard.ZstdCompressionDict(" ".join(_words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, t in ALL]
     return made(None), [made(d) for d in raw]
 
 
+class Template:
+    """A template's words; those that can be told from prose, and how many of them a span needs at least."""
+
+    def __init__(self, text: str):
+        self.words = _words(text)
+        self.counts = Counter(self.words)
+        rare = [w for w in self.words if w not in COMMON]
+        self.marks = frozenset(rare)
+        self.least = math.ceil(COVERED * len(self.words)) - (len(self.words) - len(rare))
+        telling = TELLING | {w for w in self.words if w[0].isdigit()} if len(self.words) <= NAMED or "gnu" in self.counts else TELLING
+        self.telling = telling & self.marks | TELLING
+        self.told = Counter(w for w in self.words if w in self.telling)
+
+    def tells(self, words: list[str]) -> bool:
+        """Whether the words hold what tells this licence apart, no more and no less."""
+        return Counter(w for w in words if w in self.telling) == self.told
+
+
 @lru_cache(maxsize=1)
-def _template_words() -> list[tuple[list[str], Counter]]:
-    return [(w, Counter(w)) for w in (_words(t) for _, t in TEMPLATES)]
+def _templates() -> tuple[list[Template], dict[str, int], np.ndarray]:
+    """The templates, a number for each word that marks one, and which templates it marks."""
+    made = [Template(t) for _, t in ALL]
+    number = {w: i for i, w in enumerate(sorted(set().union(*(t.marks for t in made))))}
+    marks = np.zeros((len(number), len(made)), dtype=bool)
+    for i, t in enumerate(made):
+        marks[[number[w] for w in t.marks], i] = True
+    return made, number, marks
+
+
+def blocks_of(words: list[str]) -> list[tuple[int, int]]:
+    """Ranges of words that may hold a template: any span that can be confirmed lies in one of them."""
+    made, number, marks = _templates()
+    known = np.array([number.get(w, -1) for w in words], dtype=np.int64)
+    at = (known >= 0).nonzero()[0]
+    if not len(at):
+        return []
+    cover = np.zeros(len(words) + 1, dtype=np.int64)
+    for i, t in enumerate(made):
+        mine = at[marks[known[at], i]]
+        if len(mine) >= t.least:
+            reach = 2 * len(t.words)  # a longer span has more words besides than its gain allows
+            near = mine[t.least - 1 :] - mine[: len(mine) - t.least + 1] < reach
+            starts = mine[: len(mine) - t.least + 1][near]
+            np.add.at(cover, np.maximum(starts - reach, 0), 1)
+            np.add.at(cover, np.minimum(starts + 2 * reach, len(words)), -1)
+    inside = np.cumsum(cover[:-1]) > 0
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    return list(zip((edges == 1).nonzero()[0].tolist(), (edges == -1).nonzero()[0].tolist(), strict=True))
+
+
+def _size(words: list[str], nth: int | None = None) -> int:
+    """Bytes of the words compressed alone, or with a template as dictionary."""
+    alone, given = _compressors()
+    return len((alone if nth is None else given[nth]).compress(" ".join(words).encode()))
 
 
 def _gain(words: list[str], nth: int) -> float:
     """How much smaller the template makes the words, relative to their size without it."""
-    flat = " ".join(words).encode()
-    alone, given = _compressors()
-    size = len(alone.compress(flat))
-    return (size - len(given[nth].compress(flat))) / size
+    size = _size(words)
+    return (size - _size(words, nth)) / size
+
+
+def ranked(words: list[str]) -> list[int]:
+    """All templates, by the bytes they save in a block for each byte that they have themselves."""
+    alone = _size(words)
+    saved = [(alone - _size(words, i)) / _size(t.words) for i, t in enumerate(_templates()[0])]
+    return sorted(range(len(saved)), key=lambda i: (-saved[i], i))
 
 
 def align(own: list[str], words: list[str]) -> list[tuple[int, int, int]]:
@@ -168,42 +195,61 @@ def align(own: list[str], words: list[str]) -> list[tuple[int, int, int]]:
     return [(a, b, lacks) for a, (_, b, lacks) in found.items() if a < b]
 
 
-@lru_cache(maxsize=4096)
-def identify(block: str) -> tuple[tuple[int, int, str, float, int, int], ...]:
-    """Notices in a block: span, licence, relative gain, and how many words each lacks and has besides."""
-    places = [m.span() for m in _WORD.finditer(block)]
-    words = [block[a:b].lower() for a, b in places]
+def _found(part: list[str], order: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """Spans of a block that a template confirms: (missing less common, besides, template, start, end, missing)."""
+    made, held, out = _templates()[0], Counter(part), []
+    for i in order:
+        own = made[i]
+        if sum(min(k, held[w]) for w, k in own.counts.items()) >= COVERED * len(own.words):
+            for a, b, lacks in align(own.words, part):
+                common = len(own.words) - lacks
+                if b - a <= 2 * len(own.words) and own.tells(part[a:b]) and _gain(part[a:b], i) >= LEAST_GAIN:
+                    out.append((lacks - common, b - a - common, i, a, b, lacks))
+    return out
+
+
+def identify(words: tuple[str, ...]) -> list[tuple[int, int, int, int, int]]:
+    """Notices in a block: (start, end, template, words missing, words besides)."""
     todo, out = [(0, len(words))], []
     while todo:
         low, high = todo.pop()
-        part = words[low:high]
-        held = Counter(part)
-        found = []
-        for i, (own, counts) in enumerate(_template_words()):
-            if sum(min(k, held[w]) for w, k in counts.items()) >= COVERED * len(own):
-                for a, b, lacks in align(own, part):
-                    common = len(own) - lacks
-                    found.append((lacks - common, b - a - common, i, a, b, lacks))
+        part = list(words[low:high])
         taken: list[tuple[int, int]] = []
-        for _, more, i, a, b, lacks in sorted(found):
+        for _, more, i, a, b, lacks in sorted(_found(part, ranked(part))):
             if all(b <= x or y <= a for x, y in taken):
-                gain = _gain(part[a:b], i)
-                if gain >= LEAST_GAIN:
-                    taken.append((a, b))
-                    out.append((places[low + a][0], _CLOSE.match(block, places[low + b - 1][1]).end(), TEMPLATES[i][0], round(gain, 4), lacks, more))
+                taken.append((a, b))
+                out.append((low + a, low + b, i, lacks, more))
         if taken:
             edges = [0, *(x for span in sorted(taken) for x in span), len(part)]
             todo += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
-    return tuple(sorted(out))
+    return sorted(out)
+
+
+_again = lru_cache(maxsize=4096)(identify)
+
+
+def notices(text: str) -> list[tuple[int, int, str, float, int, int]]:
+    """Span in code points, licence, relative gain, words missing and words besides of every notice in a text."""
+    lower = text.lower()
+    if len(lower) != len(text):  # some characters grow in lower case
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    words = _WORD.findall(lower)
+    out: list = []
+    places = None
+    for a, b in blocks_of(words):
+        for x, y, i, lacks, more in (_again if b - a < 2000 else identify)(tuple(words[a:b])):
+            if places is None:
+                places = [m.span() for m in _WORD.finditer(lower)]
+            start, end = places[a + x][0], places[a + y - 1][1]
+            out.append((start, _CLOSE.match(text, end).end(), ALL[i][0], round(_gain(words[a + x : a + y], i), 4), lacks, more))
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            whole = text.as_py() or ""
-            for a, b in blocks_of(whole):
-                rows += [(doc, a + x, a + y, *found) for x, y, *found in identify(whole[a:b])]
+            rows += [(doc, *found) for found in notices(text.as_py() or "")]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "block_start", "block_end", "license", "gain", "words_missing", "words_extra"])
