@@ -356,6 +356,71 @@ def test_minimum_cut_is_the_cheapest_labelling():
         assert cost(html_text.minimum_cut(gain, ties)) == min(cost(x) for x in itertools.product((True, False), repeat=n))
 
 
+PROSE_PARTS = "".join(f"<p>The valley lay under snow for the whole of that long winter, and the people of the town stayed at home in year {i}.</p>" for i in range(3))
+PROSE_LINES = [f"The valley lay under snow for the whole of that long winter, and the people of the town stayed at home in year {i}." for i in range(3)]
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        (f"<body><form action=x><div><h1>Title of it</h1>{PROSE_PARTS}</div></form></body>", ["Title of it", *PROSE_LINES]),
+        (f"<body><div class='layout has-sidebar'><h1>Title of it</h1>{PROSE_PARTS}</div></body>", ["Title of it", *PROSE_LINES]),
+        (f"<article><h1>Title of it</h1>{TALE}<section id='discussion'><h2>Discussion</h2>{PROSE_PARTS}</section>{TALE}</article>", None),
+        (f"<article><h1>Title of it</h1>{TALE}<div class='survey-results'>{PROSE_PARTS}</div>{TALE}</article>", None),
+        (f"<article><h1>Title of it</h1>{TALE}<div class='print-body'>{PROSE_PARTS}</div>{TALE}</article>", None),
+        (f"<div class='ad'><p>{'Buy this thing now and be happy for ever. ' * 20}</p></div><article><h1>Title of it</h1><p>A short text.</p></article>", ["Title of it", "A short text."]),
+    ],
+)
+def test_names_of_parts_do_not_lose_them(page, lines):
+    found = html_text.main_text(page).split("\n")
+    assert found == lines if lines else set(PROSE_LINES) <= set(found) and found[0] == "Title of it"
+
+
+def test_the_cut_labels_pages_better_than_the_classifier_alone():
+    weights, strength, across = html_text.fitted()
+    wrong = np.zeros(2, dtype=int)
+    moved = 0
+    for blocks, right in html_text._labelled(200, 9):
+        found = html_text.odds(blocks, np.array(weights))
+        labels = np.array(html_text.cut(blocks, found, strength, across))
+        wrong += ((found > 0) != right).sum(), (labels != right).sum()
+        moved += ((found > 0) != labels).sum()
+    assert moved > 0 and wrong[1] < wrong[0] and strength > 0
+
+
+def test_logistic_fit_has_no_slope_left():
+    rng = np.random.default_rng(3)
+    x = np.c_[np.ones(300), rng.normal(size=(300, 4))]
+    y = (rng.random(300) < 1 / (1 + np.exp(-x @ [0.3, 1, -2, 0, 0.5]))).astype(float)
+    w = html_text.logistic(x, y)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - w).max() < 1e-6
+
+
+def test_pages_of_a_table_are_labelled_as_by_trying_all_labellings(spark, tmp_path):
+    weights, strength, across = html_text.fitted()
+    pages, wanted = [], {}
+    for page in html_text.html_sample.pages(1200, 31):
+        page = html_text.html_sample.truth(page)[0]
+        blocks = html_text.blocks_of(page)
+        if len(blocks) <= 12 and len(pages) < 20:
+            gain = [round(html_text.UNIT * x) for x in html_text.odds(blocks, np.array(weights)).tolist()]
+            edges = html_text.ties(blocks, strength, across)
+            cost = lambda x: sum(max(g, 0) if not on else max(-g, 0) for g, on in zip(gain, x, strict=True)) + sum(w for a, b, w in edges if x[a] != x[b])  # noqa: B023, E731
+            best = min(itertools.product((False, True), repeat=len(blocks)), key=cost)
+            wanted[len(pages)] = "\n".join(b.text for b, on in zip(blocks, best, strict=True) if on)
+            pages.append((len(pages), "u", page))
+    pages += [(900, None, None), (901, "u", ""), (None, "u", "<p>x</p>"), (0, "u", pages[0][2])]
+    frame(spark, pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = queries.op5_html_text(spark, str(tmp_path)).collect()
+    assert len(out) == len(pages) and all(r.n_chars == len(r.text) for r in out)
+    assert {(r.page_id, r.text) for r in out if r.page_id is not None} == {*wanted.items(), (900, ""), (901, "")} and len(wanted) == 20
+
+
+def test_a_very_long_page_is_read_to_its_end():
+    page = "<article><h1>Title</h1>" + "<p>The river went down to the sea, and nobody knew why it did so.</p>" * 20_000 + "<p>The end of all of it.</p></article>"
+    assert html_text.main_text(page).endswith("\nThe end of all of it.") and html_text.main_text(page).count("\n") == 20_001
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None)]
     out = html_text.extract_pages(frame(spark, rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
