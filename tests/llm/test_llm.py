@@ -252,6 +252,40 @@ def test_best_fit_chooses_as_a_plain_search_does():
     assert [32 - o for o in offsets] == wanted and max(bins) + 1 == len(room)
 
 
+def all_packings(lengths):
+    if not lengths:
+        yield []
+        return
+    for rest in all_packings(lengths[1:]):
+        yield [[lengths[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [lengths[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_sizes_chosen_jointly_cost_little_more_than_the_best_of_all_packings():
+    rng, sizes, ratios = random.Random(33), (512, 1024, 2048, 4096), []
+    price = lambda used: packing.sequence_cost(next(s for s in sizes if s >= used))
+    for _ in range(40):
+        lengths = [int(2 ** rng.uniform(5, 11.5)) for _ in range(rng.randrange(1, 7))]
+        best = min(sum(price(sum(b)) for b in bins) for bins in all_packings(lengths) if all(sum(b) <= sizes[-1] for b in bins))
+        ratios.append(sum(map(packing.sequence_cost, packing.best_fit(lengths, sizes)[2])) / best)
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.4 and sum(ratios) / len(ratios) < 1.05
+
+
+def test_several_sizes_open(monkeypatch):
+    rng, opened = random.Random(34), Counter()
+    real = packing._opened
+    monkeypatch.setattr(packing, "_opened", lambda *a: opened.update([real(*a)]) or real(*a))
+    lengths = [min(8192, int(2 ** rng.gauss(8.5, 1.8)) + 1) for _ in range(2000)]
+    ends = packing.best_fit(lengths)[2]
+    assert len(opened) >= 4
+    joint = sum(map(packing.sequence_cost, ends))
+    for size in packing.SIZES:  # each length as the one that opens, where it can
+        monkeypatch.setattr(packing, "_opened", lambda need, rest, n, sizes, cost: max(size, next(s for s in sizes if s >= need)))  # noqa: B023
+        fixed = sum(map(packing.sequence_cost, packing.best_fit(lengths)[2]))
+        assert joint <= fixed and (joint < fixed or size <= 1024)
+
+
 def test_packing_keeps_every_token(spark):
     docs = [(i, t) for i, t in enumerate(ODD + made(8, 60) + ["tok " * 1000])] + [(3, "a")]
     out = packing.pack_documents(frame(spark, docs).withColumn("bin_id", F.lit(0)), sizes=(64, 128)).collect()
@@ -448,9 +482,39 @@ def test_bpe_as_the_library_does():
 
 def test_tree_of_windows_is_exact():
     code, rng = bpe.codec(open(PATH, encoding="utf-8").read()), random.Random(13)
-    for alphabet in ("a", "ab", "aab", "ther", "日本"):
-        data = "".join(rng.choice(alphabet) for _ in range(12_000)).encode()
-        assert code.tree(data) == code._leaf(data)
+    for alphabet in ("a", "ab", "aab", "ther", "日本", " a", "'s t", "1a!", " \n", "é'll ", "\u3000x", "!?.", "\u0301a"):
+        text = "".join(rng.choice(alphabet) for _ in range(12_000))
+        assert code.tree(text) == code.core._core_bpe.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("leaf", [3, 17, 200])
+def test_halves_meet_exactly_wherever_they_are_cut(monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "PARALLEL", 400)
+    code, library, rng = bpe.codec(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH), random.Random(32)
+    for n in range(60):
+        parts = ["it's", " we'll", "'s", "  ", "\n\n", " ", "\t ", "don't", "1234", " 12", "漢字", "é", "!!", "...", " (", "'", "''ve", "x" * rng.randrange(1, 40), " " * rng.randrange(1, 30), "\u00a0", "e\u0301", "🙂"]
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 400)))
+        assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("where", "value"), [(("normalizer",), {"type": "NFC"}), (("pre_tokenizer", "add_prefix_space"), True), (("pre_tokenizer", "type"), "Whitespace"), (("model", "dropout"), 0.1), (("added_tokens", 0, "lstrip"), True), (("decoder",), None)])
+def test_vocabularies_with_other_settings_are_refused(where, value):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    inner = spec
+    for part in where[:-1]:
+        inner = inner[part]
+    inner[where[-1]] = value
+    with pytest.raises(ValueError):
+        bpe.check(spec)
+
+
+def test_bpe_of_an_empty_table_and_of_repeated_rows(spark):
+    assert bpe.round_trip_digests(frame(spark, []), PATH).count() == 0
+    rows = bpe.round_trip_digests(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, None)]), PATH).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == {(1, 2): 2, (None, 2): 1, (None, 0): 1}
 
 
 def test_bpe_digests(spark):

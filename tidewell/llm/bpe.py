@@ -1,17 +1,24 @@
 """BPE encoding and decoding (operator 6) with a byte-level vocabulary file of the tokenizers library.
 
-Ordinary text is parted by the vocabulary's pattern, and pieces are merged by a
-compiled routine. A run that the pattern leaves whole may be as long as the
-text itself; such a run is encoded by tree concatenation: halves are encoded on
-their own, in parallel, then a window around each join is encoded again and
-grown until its first and last token agree with what either side had. Byte-pair
-merging is decided by adjacent tokens, so a join whose window agrees on both
-sides is exactly what encoding the whole run gives.
-
-The vocabulary file is read once, on the driver, and sent to the executors.
+A text beyond a leaf is encoded by tree concatenation, whatever it holds: its
+halves are encoded on their own, the upper ones in parallel, and the text around
+the join is encoded again, in a window that grows to both sides until it ends at
+places where the vocabulary's pattern parts the text for certain, in the half as
+in the whole. There both sides agree, so the tokens beyond the window are those
+of the whole text. Where the window is one piece that the pattern doesn't part,
+and may be as long as the text, bytes are merged in windows of tokens that grow
+until their first and last token agree with what either half had; byte-pair
+merging is decided by adjacent tokens, so this too is exact.
+
+The vocabulary file is read once, on the driver, and sent to the executors. A
+file with settings that aren't handled here (a normalizer, another pattern or
+decoder, dropout, added tokens with flags) is refused.
 
 Defined cases: a null text counts as empty and has no tokens. Special tokens in
 a text are encoded as such. Ids that are no UTF-8 together decode with U+FFFD.
+Very long texts are encoded whole; repeated rows and rows with a null doc_id have
+a result each; an empty table gives no rows; columns beyond doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +40,39 @@ from pyspark.sql import functions as F
 from tidewell.llm.textvec import pieces
 from tidewell.storage import bound_batches
 
-#: Runs of so many characters without a change between blank and not are looked at apart.
-LONG = 4096
-#: Bytes of a run that are encoded in one go.
-LEAF = 2048
+#: Characters that are encoded in one go, and from which halves are encoded in parallel.
+LEAF, PARALLEL = 2048, 1 << 16
 
 #: The pattern of byte-level pre-tokenization, a fixed value of such vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Between these characters every text is parted, whatever is beside them: no piece has white space after anything
+#: else, and runs of letters or digits end with them.
+CERTAIN = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
+
+#: Settings of a vocabulary file that are handled.
+HANDLED = {
+    "normalizer": [None], "pre_tokenizer.type": ["ByteLevel"], "pre_tokenizer.add_prefix_space": [False], "pre_tokenizer.use_regex": [True, None], "decoder.type": ["ByteLevel"],
+    "model.type": ["BPE", None], "model.dropout": [None, 0.0], "model.unk_token": [None], "model.continuing_subword_prefix": [None, ""], "model.end_of_word_suffix": [None, ""],
+    "model.byte_fallback": [False, None], "model.ignore_merges": [False, None],
+}
+FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def check(spec: dict) -> None:
+    """Raise ValueError for a vocabulary whose settings would give other ids than ``Codec`` does."""
+    for name, values in HANDLED.items():
+        found = spec
+        for part in name.split("."):
+            found = (found or {}).get(part)
+        if found not in values:
+            raise ValueError(f"{name} of this vocabulary is {found!r}, which isn't handled")
+    for token in spec["added_tokens"]:
+        if any(token.get(flag) for flag in FLAGS):
+            raise ValueError(f"the added token {token['content']!r} has flags that aren't handled")
+
+
 def _alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +85,7 @@ class Codec:
 
     def __init__(self, content: str):
         spec = json.loads(content)
+        check(spec)
         byte_of = _alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {token: i for token, i in spec["model"]["vocab"].items() if token not in self.special}
@@ -71,8 +103,7 @@ class Codec:
             self.bytes_of[i] = text.encode()
         self.digits = [str(i) for i in range(size)]
         self._specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._long = re.compile(rf"\S{{{LONG},}}|\s{{{LONG},}}")
-        self._piece = regex.compile(PATTERN)
+        self._piece, self._certain = regex.compile(PATTERN), regex.compile(CERTAIN)
 
     def _leaf(self, data: bytes) -> list[int]:
         return self.core._core_bpe.encode_single_piece(data)
@@ -89,46 +120,78 @@ class Codec:
                 return [*left[:-a], *window, *right[b:]]
             reach *= 2
 
-    def tree(self, data: bytes) -> list[int]:
-        """Tokens of a run that the pattern leaves whole."""
-        if len(data) <= LEAF:
-            return self._leaf(data)
-        with ThreadPoolExecutor(2) as pool:
-            parts = list(pool.map(self._leaf, [data[i : i + LEAF] for i in range(0, len(data), LEAF)]))
-        while len(parts) > 1:
-            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
-
-    def _plain(self, text: str) -> list[int]:
-        if not self._long.search(text):
+    def _parted(self, text: str, low: int, high: int, last: bool) -> int | None:
+        """The last or first place between ``low`` and ``high`` where the text is parted for certain."""
+        places = (m.start() for m in self._certain.finditer(text, max(low - 1, 0), high + 1))
+        found = [x for x in places if low < x < high]
+        return (found[-1] if last else found[0]) if found else None
+
+    def _window(self, text: str, low: int, middle: int, high: int) -> tuple[int, int]:
+        """The smallest span around ``middle`` that ends where both the half and the whole are parted, or with the text."""
+        start = end = None
+        reach = 64
+        while start is None:
+            start = self._parted(text, max(low, middle - reach), middle, True)
+            if start is None and middle - reach <= low:
+                start = low
+            reach *= 4
+        reach = 64
+        while end is None:
+            end = self._parted(text, middle, min(high, middle + reach), False)
+            if end is None and middle + reach >= high:
+                end = high
+            reach *= 4
+        return start, end
+
+    def _tokens(self, ids: list[int], size: int, last: bool) -> int:
+        """How many tokens at an end of ``ids`` make ``size`` bytes."""
+        n = 0
+        while size > 0:
+            n += 1
+            size -= len(self.bytes_of[ids[-n if last else n - 1]])
+        return n
+
+    def _halves(self, text: str, low: int, high: int, pool: ThreadPoolExecutor | None) -> list[int]:
+        if high - low <= LEAF:
+            return self.core._core_bpe.encode_ordinary(text[low:high])
+        middle = (low + high) // 2
+        if pool is not None and high - low <= PARALLEL:
+            pool = None
+        if pool is not None:
+            coming = pool.submit(self._halves, text, low, middle, None)
+            right, left = self._halves(text, middle, high, pool), coming.result()
+        else:
+            left, right = self._halves(text, low, middle, None), self._halves(text, middle, high, None)
+        start, end = self._window(text, low, middle, high)
+        a = self._tokens(left, len(text[start:middle].encode()), True)
+        b = self._tokens(right, len(text[middle:end].encode()), False)
+        whole = self._piece.match(text, start, end)
+        if end - start > LEAF and whole.end() == end and all(self._piece.match(text, x, y).end() == y for x, y in ((start, middle), (middle, end))):
+            inside = self.join(left[len(left) - a :], right[:b])
+        else:
+            inside = self.core._core_bpe.encode_ordinary(text[start:end])
+        return left[: len(left) - a] + inside + right[b:]
+
+    def tree(self, text: str) -> list[int]:
+        """Tokens of a text without special tokens, by halves."""
+        if len(text) <= LEAF:
             return self.core._core_bpe.encode_ordinary(text)
-        out: list[int] = []
-        blanks: list[str] = []  # pieces of white space before the next one: what follows decides how they are parted
-        at = upto = 0
-        for piece in self._piece.finditer(text):
-            if piece.end() - piece.start() > LEAF // 4:
-                out += self.core._core_bpe.encode_ordinary(text[at:upto]) if at < upto else []
-                for blank in blanks:
-                    out += self._leaf(blank.encode())
-                out += self.tree(piece.group().encode())
-                blanks, at, upto = [], piece.end(), piece.end()
-            elif piece.group().isspace():
-                blanks.append(piece.group())
-            else:
-                blanks, upto = [], piece.end()
-        return out + (self.core._core_bpe.encode_ordinary(text[at:]) if at < len(text) else [])
+        if len(text) <= PARALLEL:
+            return self._halves(text, 0, len(text), None)
+        with ThreadPoolExecutor(2) as pool:
+            return self._halves(text, 0, len(text), pool)
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
         if self._specials is None or not any(s in text for s in self.special):
-            return self._plain(text)
+            return self.tree(text)
         out: list[int] = []
         at = 0
         for found in self._specials.finditer(text):
-            out += self._plain(text[at : found.start()])
+            out += self.tree(text[at : found.start()])
             out.append(self.special[found.group()])
             at = found.end()
-        return out + self._plain(text[at:])
+        return out + self.tree(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         """Text of the tokens; bytes that are no UTF-8 become U+FFFD."""

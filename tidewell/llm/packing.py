@@ -3,22 +3,26 @@
 Lengths are the ids that a vocabulary file gives for a text, and one for its end;
 without a vocabulary, words between white space stand for tokens, which says
 nothing of texts without blanks. Documents are cut, at token positions, into
-pieces no longer than the largest sequence. Pieces are
-dealt by a hash into groups of about ``group`` pieces, and each group is packed
-on its own: longest piece first, into the open bin with the least room that
-holds it. Where none does, a bin of the permitted length that costs least for a
-token opens. At the end each bin shrinks to the shortest permitted length that
-holds its contents. Groups are of bounded size however large the table is, and
-what the cut between groups wastes is less than a sequence for each group.
+pieces no longer than the largest sequence. Pieces are dealt by a hash into
+groups of about ``group`` pieces, and each group is packed on its own: longest
+piece first, into the open bin with the least room that holds it. Where none
+does, a bin opens. The permitted lengths compete for it: each is filled, longest
+piece first, from what is still to be packed, shrunk to what it then holds, and
+the one opens that costs least for a token. At the end each bin shrinks to the
+shortest permitted length that holds its contents. Groups are of bounded size
+however large the table is, and what the cut between groups wastes is less than
+a sequence for each group.
 
 Defined cases: a null or empty text is one piece with only its end-of-document
 token; equal lengths are packed in the order of document and piece; rows that
-repeat a document are packed as often as they occur; an empty table gives no
-rows.
+repeat a document are packed as often as they occur; a null doc_id is packed like
+any other; very long texts are cut into as many pieces as they need; an empty
+table gives no rows; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,8 +41,26 @@ GROUP = 2048
 
 
 def sequence_cost(size: int) -> float:
-    """A sequence costs its tokens and, for what each launch takes, 64 more."""
-    return size + 64.0
+    """A sequence costs its tokens, for attention a part that grows with its square, as much again at 8,192, and 64 for its launch."""
+    return size + size * size / 8192 + 64.0
+
+
+def _opened(need: int, rest: Sequence[int], n: int, sizes: Sequence[int], cost: Callable[[int], float]) -> int:
+    """The size to open for ``need``, when the first ``n`` of ``rest`` (ascending) are still to be packed; the larger of equals."""
+    best, least = 0, float("inf")
+    for size in reversed(sizes):
+        if size < need:
+            break
+        used, at = need, n
+        while at:
+            at = bisect_right(rest, size - used, 0, at) - 1
+            if at < 0:
+                break
+            used += rest[at]
+        value = cost(next(s for s in sizes if s >= used)) / used
+        if value < least - 1e-12:
+            best, least = size, value
+    return best
 
 
 def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = sequence_cost) -> tuple[list[int], list[int], list[int]]:
@@ -49,7 +71,8 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callabl
     room: list[int] = []
     open_at: dict[int, list[int]] = {}
     rooms = 0  # bit r is set while some open bin has r tokens of room
-    for i in sorted(range(len(lengths)), key=lambda j: -lengths[j]):
+    rest = sorted(lengths)
+    for nth, i in enumerate(sorted(range(len(lengths)), key=lambda j: -lengths[j])):
         need = lengths[i]
         above = rooms >> need
         if above:
@@ -60,7 +83,7 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callabl
         else:
             b = len(used)
             used.append(0)
-            room.append(min((s for s in sizes if s >= need), key=lambda s: (cost(s) / s, s)))
+            room.append(_opened(need, rest, len(rest) - nth - 1, sizes, cost))
         bin_of[i], offset_of[i] = b, used[b]
         used[b] += need
         room[b] -= need
