@@ -24,12 +24,19 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own, as all its
+    tasks run on this machine; on a cluster that is an error, for the machines
+    would write to folders that the others can't read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -86,6 +93,14 @@ def join_often(rows: DataFrame, table: DataFrame, key: str, often: DataFrame, wi
     return there.unionByName(here)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship_code(spark: SparkSession, root: str) -> None:
     """Let Python workers import packages from ``root``."""
     env: dict[str, Any] = spark.sparkContext.environment
