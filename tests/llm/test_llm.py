@@ -94,6 +94,22 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_with_columns_of_any_name(spark):
+    docs = frame(spark, [(1, "a line that is shared"), (2, "a line that is shared\nown")])
+    for name in ("__keep", "__doc", "__hash", "__text_hash", "positions"):
+        out = line_dedup.drop_repeated_lines(docs.withColumn(name, F.lit("x"))).collect()
+        assert sorted((r.doc_id, r["__kept"], r[name]) for r in out) == [(1, "a line that is shared", "x"), (2, "own", "x")]
+    with pytest.raises(ValueError):
+        line_dedup.drop_repeated_lines(docs.withColumn("__kept", F.lit("x")))
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    long = "\n".join(f"line number {i % 50_000} of a long text" for i in range(150_000))
+    docs = [(1, long), (2, "x\n" + long), (3, "line number 7 of a long text"), (4, "y" * 6_000_000)]
+    out = line_dedup.drop_repeated_lines(frame(spark, docs).repartition(2)).collect()
+    assert sorted((r.doc_id, r["__n_lines"], r["__n_dropped"], r["__kept"]) for r in out) == by_hand_lines(docs)
+
+
 def test_line_held_by_every_partition(spark):
     docs = [(i, f"this line is everywhere\nline of number {i:09d}") for i in range(400)]
     bitmaps = line_dedup.keep_bitmaps(frame(spark, docs).repartition(6), partitions=16).collect()
@@ -344,8 +360,25 @@ def test_communication_matrix_has_exact_margins_and_the_right_mean():
         assert m.sum(axis=1).tolist() == [10, 30, 60] and m.sum(axis=0).tolist() == [25] * 4
         total += m
     assert np.abs(total / 300 - np.array([[2.5], [7.5], [15]])).max() < 0.6
-    big = sharding._hypergeometric(np.random.default_rng(0), 10**9, 39 * 10**9, 10**6)
-    assert abs(big - 25_000) < 1_000
+
+
+def test_hypergeometric_draws_follow_their_law_at_any_size():
+    rng = np.random.default_rng(4)
+    for good, bad, draws in ((7, 5, 6), (1, 9, 3), (40, 3, 41)):
+        drawn = Counter(sharding._hypergeometric(rng, good, bad, draws) for _ in range(4000))
+        for k in range(max(0, draws - bad), min(draws, good) + 1):
+            p = math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws)
+            assert abs(drawn[k] / 4000 - p) < 5 * math.sqrt(p * (1 - p) / 4000) + 1e-9
+    assert [sharding._hypergeometric(rng, *x) for x in ((0, 5, 3), (5, 0, 3), (4, 4, 0), (4, 4, 8))] == [0, 3, 0, 4]
+    big = np.array([sharding._hypergeometric(rng, 10**12, 39 * 10**12, 10**7) for _ in range(400)])
+    assert abs(big.mean() - 250_000) < 5 * 494 / 20 and 0.85 < big.std() / 493.7 < 1.15
+
+
+def test_sharding_of_null_ids_and_long_texts(spark):
+    docs = [(None, "a"), (None, None), (1, "é" * 3_000_000), (1, "é" * 3_000_000)]
+    out = sharding.shard_documents(frame(spark, docs).withColumn("__part", F.lit(1)), shards=3).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == {(None, 17): 1, (None, 16): 1, (1, 6_000_016): 2}
+    assert sorted(Counter(r.shard for r in out).values()) == [1, 1, 2]
 
 
 # 5
@@ -653,6 +686,36 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity_scores(frame(spark, docs), frame(spark, [], "doc_id long, toxic int")).collect()} == {0.5}
 
 
+def test_toxicity_of_odd_tables(spark, monkeypatch):
+    labels = frame(spark, [(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(frame(spark, []), labels).count() == 0
+    docs = frame(spark, [(1, "vile"), (1, "vile"), (2, "kind words"), (None, "vile"), (3, "long words " * 400_000)]).withColumn("__score", F.lit("x")).withColumn("nth", F.lit(0))
+    out = toxicity.toxicity_scores(docs, labels).collect()
+    assert Counter(r.doc_id for r in out) == {1: 2, 2: 1, None: 1, 3: 1} and len({r.score for r in out if r.doc_id in (1, None)}) == 1
+    monkeypatch.setattr(toxicity, "PLACES", 0)
+    assert {r.score for r in toxicity.toxicity_scores(docs, labels).collect()} == {0.5}
+
+
+def plain_score(text, model):
+    """As the words, stems, pairs and skip-grams say, one by one."""
+    words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").translate(FOLD)).split(" ") if w]
+    rows, places = toxicity.features(pa.array([" ".join(words)], pa.string()))
+    assert len(places) == 4 * len(words) + max(0, len(words) - 1) + max(0, len(words) - 2)
+    weight = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    return 1 / (1 + math.exp(-sum(weight.get(p, 0.0) for p in {*places.tolist(), 1 << toxicity.BITS})))
+
+
+def test_toxicity_query_scores_as_the_model_says(spark, tmp_path):
+    rng = random.Random(35)
+    texts = [t + (" nastyterm" if i % 3 == 0 else "") for i, t in enumerate(made(36, 300, vocabulary=200))] + ODD
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = frame(spark, [(i, int(i % 3 == 0)) for i in range(300) if rng.random() < 0.9], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), labels, where=~toxicity.held_out("doc_id"))
+    for r in queries.op8_toxicity(spark, str(tmp_path)).collect():
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id], model), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
 def test_ftrl_as_written_out():
     model, z, n = toxicity.Ftrl(8), [0.0] * 8, [0.0] * 8
     rng = random.Random(17)
@@ -679,6 +742,75 @@ def test_phrases_inside_equal_substrings_are_equal():
         assert len(sets[0] & sets[1] & sets[2]) >= 0.9 * len(sets[0]) - 8
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_phrases(symbols, first):
+    """One level of parsing, symbol by symbol."""
+    runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+    name = [(plain_mix((s + 1) * 0xD1342543DE82EF95 & M64) | 1) if first else s for s, _ in runs]
+    name = [plain_mix(x + n & M64) if n > 1 else x for x, (_, n) in zip(name, runs, strict=True)]
+    labels = [s for s, _ in runs]
+    for _ in range(4):
+        before = [labels[0] ^ 1, *labels[:-1]]
+        place = [((x ^ y) & -(x ^ y)).bit_length() - 1 if x != y else 0 for x, y in zip(labels, before, strict=True)]
+        labels = [p << 1 | x >> p & 1 for p, x in zip(place, labels, strict=True)]
+    n = len(labels)
+    starts = [i for i in range(n) if i == 0 or 1 < i < n - 1 and labels[i - 1] < labels[i] > labels[i + 1]]
+    out = []
+    for a, b in zip(starts, [*starts[1:], n], strict=True):
+        total = sum(x * (plain_mix(i + 1) | 1) for i, x in enumerate(name[a:b]))
+        out.append(plain_mix(total + b - a & M64))
+    return out
+
+
+def plain_fingerprint(text):
+    least = {}
+    symbols = list((text or "").encode())
+    for level in range(1, 5 if symbols else 0):
+        symbols = plain_phrases(symbols, level == 1)
+        if level > 1:
+            for x in symbols:
+                x = plain_mix(x + level & M64)
+                least[x >> 58] = min(least.get(x >> 58, M64), x)
+    return [plain_mix(least[b]) % (16**8 - 1) + 1 if b in least else 0 for b in range(64)]
+
+
+def plain_likeness(a, b):
+    known = sum(x != 0 or y != 0 for x, y in zip(a, b, strict=True))
+    return sum(x == y != 0 for x, y in zip(a, b, strict=True)) / known if known else 1.0
+
+
+def test_fingerprint_query_as_parsed_symbol_by_symbol(spark, tmp_path):
+    texts = ODD + made(40, 25, vocabulary=900, longest=200) + ["ab" * 300, "a" * 700 + "b" * 300, "".join(chr(97 + i % 23) for i in range(3000)), "é漢" * 200]
+    docs = [(3 * i, t) for i, t in enumerate(texts)] + [(9, "a"), (9, None), (9, "b" * 50), (None, "text without an id")]
+    frame(spark, docs).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    ordered = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+    wanted = Counter()
+    for (doc, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        text, half = text or "", len(text or "") // 2
+        edited = text[: len(text) - half] + (following or "")[:half]
+        own, other, after = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(following)
+        shown = ["".join(f"{x:08x}" for x in y) for y in (own, other)]
+        wanted[doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, round(plain_likeness(own, other), 9), round(plain_likeness(own, after), 9)] += 1
+    out = queries.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == wanted
+
+
+def test_fingerprints_of_a_very_long_text(spark):
+    text = "".join(random.Random(41).choices("abcdefgh ", k=3_000_000))
+    out = fingerprints.fingerprints(frame(spark, [(1, text), (2, text), (3, "z" * 500_000)])).collect()
+    assert len({r.fingerprint for r in out if r.doc_id < 3}) == 1 and {r.n_chars for r in out} == {3_000_000, 500_000}
+
+
 def test_fingerprints(spark):
     texts = ODD + made(19, 80, vocabulary=5000, longest=400) + ["ab" * 700, "a" * 900]
     docs = list(enumerate(texts)) + [(3, "a")]

@@ -32,3 +32,24 @@ def test_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in single) == [d for d, _, c in low if d == c]
     assert sum(r.n_tokens for r in packed) == sum(len(words_of(r.text)) + 1 for r in single)
     assert sorted((r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.piece, r.n_tokens) for r in packed)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __score string, __kept int, __gone int, __keep int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    long = " ".join(f"w{i}" for i in range(100_000))
+    docs = [(1, long), (2, long), (3, None), (4, ""), (None, "no id here"), (5, "twice"), (5, "twice")]
+    rows = [(d, t, "en", "src", len(t or ""), "s", 1, 2, 3) for d, t in docs]
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.toxicity(spark, now, str(tmp_path)).count() == len(docs)
+    spark.createDataFrame([(5, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.toxicity(spark, now, str(tmp_path))
+    assert kept.columns == now.columns and kept.count() <= len(docs)
+    lines = corpus_pipeline.line_dedup(spark, now, str(tmp_path))
+    assert lines.columns == now.columns and sorted((r.doc_id or 0, len(r.text)) for r in lines.collect()) == sorted((d or 0, 0 if d == 2 else len(t or "")) for d, t in docs)
+    single = corpus_pipeline.near_dedup(spark, now, str(tmp_path))
+    assert single.columns == now.columns and sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 4, 5, 5]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, 2, 3, 4, 5, None}

@@ -12,7 +12,8 @@ fingerprint keeps, for each of 64 ranges of names, the smallest name.
 Defined cases: a null text counts as empty; empty texts have the fingerprint of
 zeros, and are like each other (1.0) and unlike all others (0.0). Documents
 follow each other by doc_id, rows that repeat one by their text, null ids first;
-the only row of a table follows itself.
+the only row of a table follows itself. Very long texts are parsed whole; an
+empty table gives no rows; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -217,7 +218,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that repeat an id are parted by how their texts begin, in the order of the texts.
+    placed = docs.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     streamed = placed.mapInArrow(_stream, f"kind string, {_RESULT}, text string").withColumn("part", F.spark_partition_id())
     streamed = materialize(streamed, "fingerprints")
     # Two rows for each partition: the tail of one is followed by the head of the next that has rows.

@@ -11,6 +11,8 @@ its text.
 Defined cases: a null or empty text is one empty line. Keys under ``least``
 code points are never dropped. Rows that repeat a doc_id count as the same
 document: lines they share stay in both. A null doc_id sorts before all others.
+Very long texts are split whole, and what is gathered for a document are numbers
+of lines; an empty table gives no rows; columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.textvec import pieces
-from tidewell.storage import bound_batches, broadcast_if_small, materialize
+from tidewell.storage import bound_batches, broadcast_if_small, free, materialize
 
 BLANK = " \t\n\x0b\x0c\r"
 _LINES = "line_hash binary, doc_id bigint, text_hash binary, n_lines int, positions array<int>"
@@ -135,33 +138,40 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, partitions: int | None = None
     return grouped.mapInArrow(_bitmaps, "doc_id bigint, text_hash binary, n_lines int, keep binary")
 
 
-def _apply(names: list[str]):
+#: What ``drop_repeated_lines`` adds.
+ADDED = ("__n_lines", "__n_dropped", "__kept")
+
+
+def _apply(names: list[str], bitmap: str, added: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             n_lines, n_dropped, kept = [], [], []
-            for text, bits in zip(batch.column("text"), batch.column("__keep"), strict=True):
+            for text, bits in zip(batch.column("text"), batch.column(bitmap), strict=True):
                 lines = (text.as_py() or "").split("\n")
                 stay = unpack(bits.as_py(), len(lines))
                 n_lines.append(len(lines))
                 n_dropped.append(int((~stay).sum()))
                 kept.append("\n".join(lines[i] for i in stay.nonzero()[0]))
             rest = [batch.column(x) for x in names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "__n_lines", "__n_dropped", "__kept"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, *added])
 
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = 10, added: tuple[str, ...] = ADDED) -> DataFrame:
     """``docs`` with all its columns but ``text``, and n_lines, n_dropped and kept (the text that stays).
 
-    New columns are named ``__n_lines``, ``__n_dropped`` and ``__kept``, so
-    they clash with no column of ``docs``.
+    The new columns are named as ``added`` says; a column of ``docs`` with such
+    a name is an error, which ``storage.free`` helps to avoid.
     """
+    if taken := set(added) & set(docs.columns):
+        raise ValueError(f"the columns {sorted(taken)} are there already")
     bitmaps = materialize(keep_bitmaps(docs, least), "line-bitmaps")
-    small = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
-    side = broadcast_if_small(small, F.octet_length("__keep") + 64)
-    schema = docs.schema
-    joined = docs.withColumn("__text_hash", text_hash()).join(side, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__doc", "__hash", "__text_hash")
-    names = [f.name for f in schema if f.name != "text"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "text")
-    return joined.mapInArrow(_apply(names), f"{out}, `__n_lines` bigint, `__n_dropped` bigint, `__kept` string")
+    doc, of, bitmap, own = (free(x, docs.columns) for x in ("__doc", "__hash", "__keep", "__text_hash"))
+    small = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.col("keep").alias(bitmap))
+    side = broadcast_if_small(small, F.octet_length(bitmap) + 64)
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn(own, text_hash())
+    joined = joined.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(of)), "left").drop(doc, of, own)
+    rest = [f for f in docs.schema if f.name != "text"]
+    schema = T.StructType([*rest, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType()), T.StructField(added[2], T.StringType())])
+    return joined.mapInArrow(_apply([f.name for f in rest], bitmap, added), schema)

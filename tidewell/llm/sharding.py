@@ -10,13 +10,15 @@ Only a row's key, size and checksum move; the counts on the driver are at most
 ``MAX_PARTS`` times the number of shards, however large the table is.
 
 Defined cases: a null text has no bytes and the checksum of an empty one;
-repeated rows and null keys are dealt like any others; an empty table gives no
-rows; columns of ``rows`` beyond the listed ones are kept out.
+repeated rows, ties and null keys are dealt like any others; very long texts are
+only measured, and never moved; an empty table gives no rows; columns of ``rows``
+beyond the listed ones are kept out.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,29 +34,23 @@ MAX_PARTS = 4096
 SORTED_ROWS = 4096
 
 
+def _outwards(ratio: Callable[[np.ndarray], np.ndarray], steps: int) -> np.ndarray:
+    """Chances of the values beyond the mode, relative to the mode's, until they no longer count."""
+    found = np.ones(1)
+    while len(found) <= steps and found[-1] > 1e-25:
+        at = np.arange(len(found) - 1, min(steps, 2 * len(found) + 62), dtype=np.float64)
+        found = np.concatenate([found, found[-1] * np.cumprod(ratio(at))])
+    return found[1:]
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` of ``good`` + ``bad``, also where there are more than NumPy can count."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
+    """Good ones among ``draws`` of ``good`` + ``bad``, by inversion of the chances of all values, however many rows there are."""
     low, high = max(0, draws - bad), min(draws, good)
-    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
     mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
-    p = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    u, up, down, k_up, k_down = rng.random() - p, p, p, mode, mode
-    while u > 0 and (k_up < high or k_down > low):  # outwards from the mode
-        if k_up < high:
-            up *= (good - k_up) * (draws - k_up) / ((k_up + 1) * (bad - draws + k_up + 1))
-            k_up += 1
-            u -= up
-            if u <= 0:
-                return k_up
-        if k_down > low:
-            down *= k_down * (bad - draws + k_down) / ((good - k_down + 1) * (draws - k_down + 1))
-            k_down -= 1
-            u -= down
-            if u <= 0:
-                return k_down
-    return mode
+    up = _outwards(lambda x: (good - mode - x) * (draws - mode - x) / ((mode + x + 1) * (bad - draws + mode + x + 1)), high - mode)
+    down = _outwards(lambda x: (mode - x) * (bad - draws + mode - x) / ((good - mode + x + 1) * (draws - mode + x + 1)), mode - low)
+    chances = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return mode - len(down) + int(min(np.searchsorted(chances, rng.random() * chances[-1], side="right"), len(chances) - 1))
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:

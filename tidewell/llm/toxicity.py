@@ -4,12 +4,17 @@ A document's features are its distinct words, stems (the first few bytes of a
 word), word pairs and pairs with one word between, hashed to ``2 ** BITS`` places. Every place has its own learning rate,
 and L1 keeps most weights at zero, so what is left is small enough to send to
 every executor. The model learns in one task from at most ``SAMPLE`` labelled
-documents, taken by a hash of their id; scoring reads every document whole.
+documents, taken by a hash of their id, and from no more than ``PLACES`` features
+of them, which bounds the task's memory where texts are very long; scoring reads
+every document whole.
 
 Defined cases: a null or empty text has only the bias and gets its score;
 labels without a value or without a document are left out; where a document has
 several labels the largest counts; without any label the score is 0.5 for all.
-Scores depend on the text alone, so equal texts have equal scores.
+Scores depend on the text alone, so equal texts have equal scores. Rows that
+repeat a document are learnt from as often as they occur and scored each; very
+long texts are read whole, in slices; an empty table gives no rows; columns of
+``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -20,15 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewell.llm.textvec import PUNCTUATION, mix, pieces, stems
-from tidewell.storage import bound_batches, materialize
+from tidewell.storage import bound_batches, free, materialize
 
 BITS = 20
 #: Lengths of stems in bytes.
 STEMS = (4, 5, 6)
 #: The most labelled documents that the model learns from.
 SAMPLE = 24_000
+#: The most features that they may have together.
+PLACES = 1 << 26
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 
@@ -98,32 +107,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     chosen = materialize(chosen.orderBy("nth", "id").limit(sample), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("nth", "label", "text")
-    rows = materialize(found.mapInArrow(_featurise, "nth bigint, label int, places array<int>"), "features")
+    rows = materialize(found.mapInArrow(_featurise, "nth bigint, label int, places array<int>").withColumn("row", F.monotonically_increasing_id()), "features")
+    order = ["nth", "label", "row"]
+    few = rows.select(*order, F.size("places").cast("long").alias("n")).orderBy(*order).limit(sample)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most ``sample`` rows
+    few = few.withColumn("before", before).where(F.col("before") + F.col("n") <= PLACES).select("row")
+    rows = rows.join(F.broadcast(few), "row", "left_semi").drop("row")
     fitted = rows.repartition(1).sortWithinPartitions("nth", "label", F.xxhash64("places")).mapInArrow(_train, "place int, weight double").collect()
     return np.array([r["place"] for r in fitted], dtype=np.int64), np.array([r["weight"] for r in fitted], dtype=np.float64)
 
 
-def _score(places: np.ndarray, weights: np.ndarray, keep: list[str]):
+def _score(places: np.ndarray, weights: np.ndarray, keep: list[str], text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((1 << BITS) + 1)
         table[places] = weights
         for part in pieces(batches, 256):
-            rows, found = features(part.column(part.schema.get_field_index("text")))
+            rows, found = features(part.column(text))
             hit = table[found] != 0
             both = np.unique((rows[hit] << BITS) | found[hit])
             sums = table[-1] + np.bincount(both >> BITS, weights=table[both & ((1 << BITS) - 1)], minlength=part.num_rows)
             score = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(score)], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(score)], names=[*keep, name])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``__score``, the toxicity of its text from 0 to 1."""
-    schema = docs.select(keep).schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(_score(*model, keep), f"{out}, `__score` double")
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], name: str = "__score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and ``name``, the toxicity of its text from 0 to 1."""
+    schema = T.StructType([*docs.select(keep).schema, T.StructField(name, T.DoubleType())])
+    text = free("__text", [*docs.columns, name])
+    return docs.select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(_score(*model, keep, text, name), schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
