@@ -58,6 +58,28 @@ def test_bm25_by_hand(spark):
     assert [got[3, i] for i in range(4)] == [0, 0, 0, 0]
 
 
+def test_bm25_keeps_negative_scores(spark):
+    same = spark.createDataFrame([(i, "a") for i in range(3)], "corpus_row long, text string")
+    asked = spark.createDataFrame([(0, "a"), (1, "b")], "query_id long, text string")
+    got = [(r.query_id, r.corpus_row, r.score) for r in bm25.search(same, asked, 2).orderBy("query_id", "rank").collect()]
+    raw = math.log(0.5) - math.log(3.5)
+    assert got == [(0, 0, pytest.approx(0.25 * raw, abs=1e-6)), (0, 1, pytest.approx(0.25 * raw, abs=1e-6)), (1, 0, 0.0), (1, 1, 0.0)]
+    more = same.union(spark.createDataFrame([(9, "zz"), (8, "zz yy")], same.schema))
+    got = [(r.corpus_row, r.score) for r in bm25.search(more, asked.limit(1), 5).orderBy("rank").collect()]
+    assert [row for row, _ in got] == ([8, 9, 0, 1, 2] if got[0][1] == 0 else [0, 1, 2, 8, 9])
+
+
+def test_bm25_of_odd_tables(spark):
+    schema = "corpus_row long, text string"
+    asked = spark.createDataFrame([(0, "a"), (1, None)], "query_id long, text string")
+    assert bm25.search(spark.createDataFrame([], schema), asked, 2).count() == 0
+    assert bm25.search(spark.createDataFrame([(1, "a")], schema), asked.limit(0), 2).count() == 0
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "A_b É c-d " * 300_000)], schema)
+    assert sorted((r.query_id, r.corpus_row, r.score) for r in bm25.search(rows, asked, 5).collect()) == [(q, c, 0.0) for q in (0, 1) for c in (1, 2, 3)]
+    assert [(r.term, r.df, r.tf) for r in bm25.frequencies(rows).orderBy("term").collect()] == [(None, 3, 0), ("a_b", 1, 300_000), ("c", 1, 300_000), ("d", 1, 300_000)]
+    assert {(r.corpus_row, r.term, r.tf) for r in bm25.postings(rows).collect()} == {(3, t, 300_000) for t in ("a_b", "c", "d")}
+
+
 def test_vector_metrics(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0]), (3, None)], "corpus_row long, embedding array<float>")
     asked = spark.createDataFrame([(7, [0.0, 1.0])], "query_id long, embedding array<float>")

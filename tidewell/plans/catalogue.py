@@ -108,8 +108,7 @@ def bm25_doc_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(_WITH + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     docs, _ = rows_and_questions(spark, d)
-    posts = materialize(bm25.postings(docs), "postings")
-    return bm25.inverse_frequencies(posts, bm25.statistics(docs, posts)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.inverse_frequencies(bm25.frequencies(docs))[0].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # Vector search
@@ -417,7 +416,7 @@ top AS (SELECT r.query_id, r.rank, r.score, d.source || ' > ' || d.lang AS citat
 
 def _contexts(spark: SparkSession, d: str, passage: str = "substring(text, 1, 200)") -> DataFrame:
     docs = table(spark, d, "documents")
-    found = bm25.best(bm25.scores(*rows_and_questions(spark, d)), 3)
+    found = bm25.best(bm25.scores(*rows_and_questions(spark, d), k=3), 3)
     label = T.citation(F.lit("html"), F.lit(None).cast("string"), F.col("source"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.col("lang"))
     return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), F.expr(passage).alias("text")))
 
