@@ -43,7 +43,7 @@ def test_has_rows(spark, name):
 
 
 def test_vectors_of_neighbouring_cells_are_mostly_found(spark):
-    found = catalogue.ann_recall(spark, SF).toPandas()
+    found = catalogue.ann_recalls(spark, SF).toPandas()
     assert found["recall"].mean() >= 0.9
 
 

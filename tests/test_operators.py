@@ -90,6 +90,42 @@ def test_vector_metrics(spark):
     assert vectors.search(rows, asked.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_an_index_is_kept_and_extended(spark, tmp_path, metric):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(12, 8)) * 4
+    x = [[float(v) for v in middle[i % 12] + rng.normal(size=8) * 0.3] for i in range(600)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "corpus_row long, embedding array<float>")
+    asked = rows.where("corpus_row % 40 = 0").withColumnRenamed("corpus_row", "query_id")
+    vectors.CellIndex.build(rows.where("corpus_row < 500"), str(tmp_path / "i"), metric)
+    again = vectors.CellIndex(spark, str(tmp_path / "i"))
+    assert again.params["cells"] == 23 and again.params["probes"] < 23
+    again.add(rows.where("corpus_row >= 500"))
+    exact = vectors.search(rows, asked, 5, metric)
+    assert metrics.recall(exact, vectors.CellIndex(spark, str(tmp_path / "i")).search(asked, 5), 5).toPandas()["recall"].mean() >= 0.9
+    assert sorted(again.search(asked, 5, probes=23).collect()) == sorted(exact.collect())
+    assert {r.corpus_row % 5 for r in again.search(asked, 5, allowed=rows.where("corpus_row % 5 = 1").select("corpus_row")).collect()} == {1}
+    with pytest.raises(ValueError):
+        again.add(spark.createDataFrame([(900, [1.0])], rows.schema))
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "corpus_row long, embedding array<float>")
+    asked = rows.withColumnRenamed("corpus_row", "query_id")
+    index = vectors.CellIndex.build(rows.limit(0), str(tmp_path / "i"))
+    assert index.search(asked, 3).count() == 0
+    index.add(rows)
+    assert [(r.query_id, r.corpus_row) for r in vectors.CellIndex(spark, str(tmp_path / "i")).search(asked, 3).collect()] == [(1, 1)]
+
+
+def test_rows_of_a_store_are_checked(spark):
+    good = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "corpus_row long, embedding array<float>")
+    assert vectors.checked(good, 2).count() == 2
+    for bad in ([(1, [1.0])], [(None, [1.0, 2.0])], [(1, None)], [(1, [1.0, 2.0]), (1, [1.0, 2.0])]):
+        with pytest.raises(ValueError):
+            vectors.checked(spark.createDataFrame(bad, good.schema), 2)
+
+
 def test_minmax_of_equal_scores(spark):
     rows = spark.createDataFrame([(0, 1, 0.0), (0, 2, 0.0), (1, 1, 2.0), (1, 2, 4.0)], "query_id int, corpus_row int, score double")
     assert [r.scaled for r in hybrid.minmax(rows).orderBy("query_id", "corpus_row").collect()] == [1.0, 1.0, 0.0, 1.0]

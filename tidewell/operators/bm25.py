@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions import tokens
+from tidewell.operators.ranking import best_of_batch
 from tidewell.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -89,17 +90,8 @@ def _score(ids: np.ndarray, names: pa.Array, weights: np.ndarray, avgdl: float,
             scores = np.round(share @ weights, 6) + 0.0
             if matched:
                 scores[(share > 0).astype(np.float32) @ (weights != 0).astype(np.float32) == 0] = -np.inf
-            rows = part.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(rows, kind="stable")
-            rows, scores = rows[order], scores[order]
-            if k is None or n <= k:
-                at, query = np.nonzero(scores > -np.inf)
-            else:  # the k-th best score, and of rows that share it the smallest
-                least = np.partition(scores, n - k, axis=0)[n - k]
-                above = scores > least
-                equal = (scores == least) & (scores > -np.inf)
-                at, query = np.nonzero(above | equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(rows[at]), pa.array(scores[at, query])], names=named)
+            query, rows, scores = best_of_batch(part.column(0).to_numpy(zero_copy_only=False), scores, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(rows), pa.array(scores)], names=named)
 
     return run
 

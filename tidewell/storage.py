@@ -42,11 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with the tables of ``materialize``."""
+    path = f"{shared_dir(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table as read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
