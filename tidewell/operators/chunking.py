@@ -53,8 +53,5 @@ def packed_sentences(text: Column, most: int) -> Column:
 def chunk_sentences(docs: DataFrame, size: int = TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """As ``chunk_tokens``, over packs of sentences of at most four characters for each token."""
     _check(size, overlap)
-    packs = docs.select("doc_id", F.posexplode(packed_sentences(F.col("text"), 4 * size)).alias("pack", "text"))
-    parts = packs.select("doc_id", "pack", F.posexplode(windows(words(F.col("text")), size, overlap)).alias("part", "text"))
-    ordered = F.array_sort(F.collect_list(F.struct("pack", "part", "text")))
-    whole = parts.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["text"]).alias("chunks"))
-    return whole.select("doc_id", F.posexplode("chunks").alias("chunk_index", "text"))
+    chunks = F.flatten(F.transform(packed_sentences(F.col("text"), 4 * size), lambda pack: windows(words(pack), size, overlap)))
+    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_index", "text"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import page_text, strip
+from tidewell.storage import broadcast_if_small, materialize
 
 RATIO, LONGEST = 0.35, 80
 
@@ -28,14 +29,19 @@ def repeated_lines(pages: DataFrame, ratio: float = RATIO, longest: int = LONGES
 
 
 def clean_pages(pages: DataFrame, ratio: float = RATIO, marker: str | None = None) -> DataFrame:
-    """(file, page, text) without blank lines, repeated lines and lines that hold ``marker``."""
-    lines = page_lines(pages).where(F.col("line") != "")
-    if marker is not None:
-        lines = lines.where(~F.col("line").contains(marker))
-    kept = lines.join(repeated_lines(pages, ratio).select("file", "line"), ["file", "line"], "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    joined = kept.groupBy("file", "page").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-    return pages.select("file", "page").join(joined, ["file", "page"], "left").select("file", "page", F.coalesce("text", F.lit("")).alias("text"))
+    """(file, page, text) without blank lines, repeated lines and lines that hold ``marker``.
+
+    A file's repeated lines are few: no more than three of its pages hold. They
+    meet the pages as one list, so lines aren't shuffled again.
+    """
+    few = repeated_lines(pages, ratio).groupBy("file").agg(F.collect_list("line").alias("repeated"))
+    few = materialize(few, "repeated-lines")
+    held = F.aggregate("repeated", F.lit(64), lambda n, x: n + F.octet_length(x))
+    lines = F.transform(F.split(page_text("text"), "\n"), strip)
+    met = pages.select("file", "page", lines.alias("lines")).join(broadcast_if_small(few, held), "file", "left")
+    again = F.coalesce("repeated", F.array().cast("array<string>"))
+    kept = F.filter("lines", lambda x: (x != "") & ~F.array_contains(again, x) & (F.lit(True) if marker is None else ~x.contains(marker)))
+    return met.select("file", "page", F.array_join(kept, "\n").alias("text"))
 
 
 _HEADING = re.compile(r"[A-Z0-9][A-Z0-9 \-,:;()]{6,}\Z")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.storage import materialize
+
 
 def checksums(docs: DataFrame) -> DataFrame:
     """Each text's SHA-256, and the smallest doc_id of those that share it."""
@@ -40,6 +42,7 @@ def append_rows(corpus_size: int, rows: DataFrame, order: list[str]) -> DataFram
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     counted = placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counted = materialize(counted, "counted")  # its parts are counted and then numbered, and must be the same ones
     sizes = counted.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__before"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.text import terms
 from tidewell.operators import bm25, vectors
 from tidewell.operators.bm25 import best
+from tidewell.storage import materialize
 
 
 def minmax(scored: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -78,7 +79,8 @@ def diversify(found: DataFrame, corpus: DataFrame, k: int, weight: float = 0.7,
         out["mmr_rank"] = np.arange(1, len(chosen) + 1, dtype=np.int32)
         return out
 
-    joined = found.select("query_id", "corpus_row", "score").join(corpus.select("corpus_row", "embedding"), "corpus_row")
+    found = materialize(found.select("query_id", "corpus_row", "score"), "candidates")
+    joined = found.join(corpus.select("corpus_row", "embedding"), "corpus_row")
     return joined.groupBy("query_id").applyInPandas(run, "query_id bigint, corpus_row bigint, score double, mmr_rank int")
 
 
@@ -95,14 +97,18 @@ def rerank(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, scor
     return best(scored, k).withColumn("rank", F.col("rank").cast("int"))
 
 
-def smart_retrieve(corpus: DataFrame, variants: DataFrame, k: int = 6, use_hybrid: bool = True, use_rerank: bool = True, **options) -> DataFrame:
+def retrieve_variants(corpus: DataFrame, variants: DataFrame, k: int = 6, **options) -> DataFrame:
+    """(query_id, variant, corpus_row, score): ``retrieve`` for every one of ``variants`` (query_id, variant, text, embedding)."""
+    keyed = materialize(variants.select(F.col("query_id").alias("asked"), "variant", "text", "embedding").withColumn("query_id", F.monotonically_increasing_id()), "variants")
+    found = retrieve(corpus, keyed.select("query_id", "text", "embedding"), k, **options)
+    return found.join(keyed.select("query_id", "asked", "variant"), "query_id").select(F.col("asked").alias("query_id"), "variant", "corpus_row", "score")
+
+
+def smart_retrieve(corpus: DataFrame, variants: DataFrame, k: int = 6, use_hybrid: bool = True, use_rerank: bool = True, scorer: Callable[[Column, Column], Column] = overlap_score, **options) -> DataFrame:
     """Variants (query_id, variant, text, embedding; variant 1 is the question) to the best ``k`` rows of each query."""
-    keyed = variants.withColumn("asked", F.col("query_id")).withColumn("query_id", F.col("query_id") * 1000 + F.col("variant"))
     weights = {} if use_hybrid else {"semantic": 1.0, "keyword": 0.0}
-    found = retrieve(corpus, keyed.select("query_id", "text", "embedding"), k, **weights, **options)
-    found = found.select(F.expr("query_id div 1000").alias("query_id"), F.expr("cast(query_id % 1000 as int)").alias("variant"), "corpus_row", "score")
-    cut = best(merge_variants(found), 5 * k)
+    cut = best(merge_variants(retrieve_variants(corpus, variants, k, **weights, **options)), 5 * k)
     diverse = diversify(cut, corpus, max(3 * k, k))
     if use_rerank:
-        return rerank(diverse, variants.where("variant = 1"), corpus, k)
+        return rerank(diverse, variants.where("variant = 1"), corpus, k, scorer)
     return diverse.where(F.col("mmr_rank") <= k).withColumnRenamed("mmr_rank", "rank")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -41,20 +46,37 @@ def limit_aligned(requests: DataFrame, limit: int, window: str = "1 day") -> Dat
     return requests.withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+def _walk(limit: int, seconds: int):
+    """Requests sorted by key and time pass once; a key's window goes on from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing = object()
+        key, opened, n = missing, -np.inf, 0
+        for batch in batches:
+            keys, at = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            allowed = np.zeros(len(keys), dtype=bool)
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[start] != key:
+                    key, opened, n = keys[start], -np.inf, 0
+                i = start
+                while i < end:
+                    if at[i] >= opened + seconds:
+                        opened, n = at[i], 0
+                    upto = max(i + 1, start + int(np.searchsorted(at[start:end], opened + seconds)))
+                    allowed[i:upto] = n + np.arange(1, upto - i + 1) <= limit
+                    n, i = n + upto - i, upto
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed)], names=["key", "id", "allowed"])
+
+    return run
+
+
 def limit_first_hit(requests: DataFrame, limit: int, seconds: int = 86_400) -> DataFrame:
     """(key, id, allowed): a key's window opens with a request and lasts ``seconds``; requests in order of time and id.
 
-    A key's times meet in one row: a fold over them needs their order.
+    A key's requests stream past in one task, as each window hangs on the one
+    before; none are gathered.
     """
-    one = F.struct(F.col("ts").cast("double").alias("at"), "id")
-    keyed = requests.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    start = F.struct(F.lit(-1e18).alias("opened"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["at"] >= acc["opened"] + seconds
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        passed = F.struct(x["id"].cast("long").alias("id"), (n <= limit).alias("allowed"))
-        return F.struct(F.when(fresh, x["at"]).otherwise(acc["opened"]).alias("opened"), n.alias("n"), F.concat(acc["out"], F.array(passed)).alias("out"))
-
-    folded = keyed.select("key", F.aggregate("all", start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select("key", F.inline("out"))
+    timed = requests.select("key", F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("id").cast("long").alias("id")).where("at is not null")
+    placed = timed.repartition("key").sortWithinPartitions("key", "at", "id")
+    return placed.mapInArrow(_walk(limit, seconds), T.StructType([requests.schema["key"], T.StructField("id", T.LongType()), T.StructField("allowed", T.BooleanType())]))

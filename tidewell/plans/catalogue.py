@@ -271,8 +271,7 @@ SELECT query_id, vec_id AS corpus_row, variant::INT AS variant, score, rank::INT
 )
 def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
     rows, variants = question_variants(spark, d)
-    keyed = variants.withColumn("query_id", F.col("query_id") * 1000 + F.col("variant"))
-    found = hybrid.retrieve(rows, keyed).select(F.expr("query_id div 1000").alias("query_id"), F.expr("cast(query_id % 1000 as int)").alias("variant"), "corpus_row", "score")
+    found = hybrid.retrieve_variants(rows, variants)
     return bm25.best(hybrid.merge_variants(found), 30).withColumn("rank", F.col("rank").cast("int"))
 
 

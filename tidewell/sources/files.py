@@ -10,9 +10,12 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import source_type
+
 BLOCKS = "section string, text string"
 
 
@@ -121,40 +124,91 @@ def _no_pdf(content: bytes) -> list[str]:
     raise NotImplementedError("no PDF library is here: pass an extractor that gives the pages of a file")
 
 
+def _reported(spark: SparkSession, path: str, most_mb: int) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.withColumn("kind", source_type(F.col("path"))).withColumn("status", F.when(F.col("length") > most_mb << 20, 413).when(F.col("kind").isNull(), 400).otherwise(200))
+
+
+def file_report(spark: SparkSession, path: str, most_mb: int = 20) -> DataFrame:
+    """(path, kind, length, status) of every file below ``path``: 413 if it is too large, 400 if of no known kind, else 200.
+
+    Only ``load_files`` reads contents; this reads names and sizes.
+    """
+    return _reported(spark, path, most_mb).select("path", "kind", "length", "status")
+
+
 def load_files(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = _no_pdf, most_mb: int = 20) -> DataFrame:
-    """(path, kind, page, section, text) of all files below ``path`` that are of a known kind and not too large."""
-    from tidewell.functions.text import source_type
+    """(path, kind, page, nth, section, text) of all files below ``path`` that ``file_report`` finds good.
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("kind", source_type(F.col("path"))).where(F.col("kind").isNotNull() & (F.col("length") <= most_mb << 20))
+    ``nth`` numbers the parts of a file from 0. Texts are as they are extracted.
+    """
+    files = _reported(spark, path, most_mb).where("status = 200")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == "html":
-                    rows += [(path, kind, None, s, t) for s, t in html_outline(plain_text(content))]
+                    rows += [(path, kind, None, i, s, t) for i, (s, t) in enumerate(html_outline(plain_text(content)))]
                 elif kind == "pdf":
-                    rows += [(path, kind, i + 1, None, t or "") for i, t in enumerate(pdf(content))]
+                    rows += [(path, kind, i + 1, i, None, t or "") for i, t in enumerate(pdf(content))]
                 else:
-                    rows.append((path, kind, None, None, docx_text(content) if kind == "docx" else plain_text(content)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "kind", "page", "section", "text"])
+                    rows.append((path, kind, None, 0, None, docx_text(content) if kind == "docx" else plain_text(content)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "kind", "page", "nth", "section", "text"])
 
-    return files.select("path", "kind", "content").mapInArrow(run, f"path string, kind string, page int, {BLOCKS}")
+    return files.select("path", "kind", "content").mapInArrow(run, f"path string, kind string, page int, nth int, {BLOCKS}")
 
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(corpus_row, embedding) of a file of row-major float32 numbers without a header; read as fixed-size records."""
-    from pyspark.errors import IllegalArgumentException
+    """(corpus_row, embedding) of a file of row-major float32 numbers without a header.
 
+    The file is read as records of a fixed size, so its parts are read apart.
+    """
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"] or 0
     if size % (4 * dim):
         raise IllegalArgumentException(f"{size} bytes aren't a whole number of {dim}-dimensional vectors")
-    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    rows = records.map(lambda x: (x[1], np.frombuffer(x[0], dtype="<f4").tolist()))
-    return spark.createDataFrame(rows, "corpus_row bigint, embedding array<float>")
+    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+    kept = spark.createDataFrame(records, "corpus_row bigint, record binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<f4")
+            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["corpus_row", "embedding"])
+
+    return kept.mapInArrow(run, "corpus_row bigint, embedding array<float>")
+
+
+def write_vectors(df: DataFrame, path: str, dim: int) -> int:
+    """Write (corpus_row, embedding) as one table of float32 bytes for each part, in the order of rows; how many rows.
+
+    ``read_raw`` gives it back; a row of another width is an error.
+    """
+    raw = df.select(F.col("corpus_row").cast("long"), F.col("embedding").cast("array<float>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            if len(flat) != batch.num_rows * dim:
+                raise ValueError(f"a vector has not {dim} numbers")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat.reshape(-1, dim)], pa.binary())], names=["corpus_row", "raw"])
+
+    raw.mapInArrow(run, "corpus_row bigint, raw binary").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
+def read_raw(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(corpus_row, embedding) of a table that ``write_vectors`` wrote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<f4")
+            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["corpus_row", "embedding"])
+
+    return spark.read.parquet(path).select("corpus_row", "raw").mapInArrow(run, "corpus_row bigint, embedding array<float>")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
