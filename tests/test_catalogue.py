@@ -56,29 +56,29 @@ def test_whole_passages_reach_contexts_and_prompts(spark):
         found.setdefault(r.query_id, []).append((r.rank, r.corpus_row))
     listed = {q: "\n\n".join(f"[{docs[x].source} > {docs[x].lang}]\n{docs[x].text}" for _, x in sorted(rows)) for q, rows in found.items()}
     assert max(len(docs[x].text) for rows in found.values() for _, x in rows) > 200
-    assert {r.query_id: r.sources for r in catalogue.QUERIES["context_assembly_whole"](spark, SF).collect()} == listed
+    assert {r.query_id: r.sources for r in catalogue.QUERIES["context_assembly"](spark, SF).collect()} == listed
     wanted = {q: f"Answer from the sources below and cite them.\n\nSources:\n{x}\n\nQuestion: {asked[q].strip()}" for q, x in listed.items()}
-    assert {r.query_id: r.prompt for r in catalogue.QUERIES["prompt_build_whole"](spark, SF).collect()} == wanted
+    assert {r.query_id: r.prompt for r in catalogue.QUERIES["prompt_build"](spark, SF).collect()} == wanted
 
 
 def test_change_detection_sees_every_row(spark, tmp_path):
-    from collections import Counter
     from hashlib import sha256
 
-    docs = [(i, f"text {i % 37}", f"src{3 + i % 3 if i % 4 else 5}") for i in range(90)] + [(90, None, "src5"), (91, None, "src5")]
-    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = [(s, sha256((t or "").encode()).hexdigest()) for _, t, s in docs]
-    last, count = dict(rows), Counter(s for s, _ in rows)
-    assert min(count.values()) > 10
+    docs = [(i, f"text {i % 37}") for i in range(200)] + [(207, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = {}
+    for i, t in docs:
+        first.setdefault((f"d{i // 30}", i % 30 // 10 + 1), sha256((t or "").encode()).hexdigest())
+    newest = {d: max(v for x, v in first if x == d) for d, _ in first}
     wanted = []
-    for s, checksum in rows:
-        if s.endswith("3"):
-            wanted.append((s + "-new", "changed", "insert", 1))
-        elif s.endswith("5") and checksum == last[s]:
-            wanted.append((s, checksum, "skip", count[s]))
+    for (d, v), checksum in first.items():
+        if d.endswith("3"):
+            wanted.append((d + "-new", f"changed{v}", "insert", 1))
+        elif d.endswith("5") and checksum == first[d, newest[d]]:
+            wanted.append((d, checksum, "skip", newest[d]))
         else:
-            wanted.append((s, checksum if s.endswith("5") else "changed", "bump", count[s] + 1))
-    assert sorted(map(tuple, catalogue.QUERIES["change_detection_whole"](spark, str(tmp_path)).collect())) == sorted(wanted)
+            wanted.append((d, checksum if d.endswith("5") else f"changed{v}", "bump", newest[d] + 1))
+    assert sorted(map(tuple, catalogue.QUERIES["change_detection"](spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) > 15
 
 
 def test_normalizing_composes(spark, tmp_path):

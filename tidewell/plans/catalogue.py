@@ -6,15 +6,19 @@ with the same id for their vectors. All read whole tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell import models
 from tidewell.functions import text as T
-from tidewell.operators import bm25, chunking, cleaning, corpus, hybrid, metrics, vectors
+from tidewell.operators import bm25, chunking, cleaning, corpus, hybrid, ingest, metrics, retrieval, vectors
+from tidewell.plans import sweep
 from tidewell.sources import files
+from tidewell.sources.store import Corpus
 from tidewell.storage import materialize, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,10 +60,16 @@ def hybrid_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
-    """Each source is a document; its rows, in the order of doc_id, are versions."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, d, "documents").withColumn("version", F.row_number().over(w))
-    return docs.select(F.col("source").alias("document"), "version", F.col("doc_id").alias("corpus_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
+    """Thirty documents in a row are one document: three versions of ten chunks each."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    version = (F.expr("(doc_id % 30) div 10") + 1).cast("int")
+    checksum = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.select(F.expr("concat('d', doc_id div 30)").alias("document"), version.alias("version"), F.col("doc_id").alias("corpus_row"), F.expr("cast(doc_id % 10 as int)").alias("chunk_index"), checksum.alias("checksum"))
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """What the first chunk of every version of a document says."""
+    return rows.groupBy("document", "version").agg(F.min_by("checksum", "chunk_index").alias("checksum"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +285,19 @@ def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
     return bm25.best(hybrid.merge_variants(found), 30).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query()
+#: Greedy choice of up to 18 of each query's candidates in {found} (query_id, vec_id, score, rank).
+_MMR = """, cand AS (SELECT f.query_id, f.vec_id, f.score, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.vec_id) AS i, list_transform(e.e, lambda x: x / (sqrt(list_dot_product(e.e, e.e)) + 1e-12)) AS u
+  FROM {found} f JOIN e USING (vec_id) WHERE f.rank <= 30),
+lists AS (SELECT query_id, list(vec_id ORDER BY i) AS ids, list(score ORDER BY i) AS sc, list(u ORDER BY i) AS us FROM cand GROUP BY query_id),
+walk AS (SELECT query_id, ids, sc, us, [1::BIGINT] AS chosen, 1 AS n FROM lists
+  UNION ALL SELECT query_id, ids, sc, us, list_append(chosen, next), n + 1 FROM (SELECT *, list_sort(list_filter(list_transform(list_filter(range(1, len(ids) + 1), lambda i: NOT list_contains(chosen, i)),
+    lambda i: {{'v': -(0.7 * sc[i] - 0.3 * list_max(list_transform(chosen, lambda c: list_dot_product(us[c], us[i])))), 'i': i, 'near': list_max(list_transform(chosen, lambda c: list_dot_product(us[c], us[i])))}}), lambda x: x.near < 0.92))[1].i AS next FROM walk WHERE n < 18) WHERE next IS NOT NULL),
+picked AS (SELECT query_id, ids, sc, chosen FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC) = 1),
+diverse AS (SELECT query_id, ids[c] AS vec_id, sc[c] AS score, pos AS mmr_rank FROM (SELECT query_id, ids, sc, unnest(chosen) AS c, generate_subscripts(chosen, 1) AS pos FROM picked))
+"""
+
+
+@query(_hybrid_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.format(found="final") + "SELECT query_id, vec_id AS corpus_row, score, mmr_rank::INT AS mmr_rank FROM diverse")
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
     rows, asked = hybrid_tables(spark, d)
     return hybrid.diversify(hybrid.retrieve(rows, asked), rows, 18)
@@ -294,7 +316,17 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.rerank(hybrid.retrieve(rows, asked), asked, rows, 6)
 
 
-@query()
+@query(
+    _hybrid_sql(variants=_VARIANTS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, merged AS (SELECT query_id // 1000 AS query_id, vec_id, score, row_number() OVER (PARTITION BY query_id // 1000, vec_id ORDER BY score DESC, query_id % 1000) AS nth FROM final WHERE rank <= 30),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM merged WHERE nth = 1)"""
+    + _MMR.format(found="best")
+    + """, sets AS (SELECT f.query_id, f.vec_id, list_distinct(regexp_extract_all(lower(x.text), '[a-z0-9_]+')) AS q, regexp_extract_all(lower(b.text), '[a-z0-9_]+') AS t
+  FROM diverse f JOIN both_rows b ON b.doc_id = f.vec_id JOIN questions x ON x.query_id = f.query_id * 1000 + 1),
+again AS (SELECT query_id, vec_id, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM sets),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM again)
+SELECT query_id, vec_id AS corpus_row, score, rank::INT AS rank FROM ranked WHERE rank <= 6"""
+)
 def smart_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.smart_retrieve(*question_variants(spark, d))
 
@@ -345,11 +377,37 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean_pages(pages(spark, d))
 
 
-@query()
+_TITLE = "array_to_string(list_transform(range(1, length(raw) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(raw[i - 1], '[A-Z]') THEN raw[i] ELSE lower(raw[i]) END), '')"
+
+
+@query(
+    "WITH p AS (SELECT source AS file, doc_id AS page, regexp_split_to_array(" + _CLEAN + r", '\n(?:[^\S\n]*\n)+') AS ps FROM documents),"
+    + " q AS (SELECT file, page, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM p),"
+    + " l AS (SELECT file, page, i, list_filter(list_transform(string_split(para, chr(10)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '') AS ls FROM q),"
+    + r" h AS (SELECT *, len(ls) > 0 AND length(ls[1]) <= 80 AND regexp_full_match(ls[1], '[A-Z0-9][A-Z0-9 \-,:;()]{6,}') AS head FROM l),"
+    + " s AS (SELECT *, last_value(CASE WHEN head THEN ls[1] END IGNORE NULLS) OVER (PARTITION BY page ORDER BY i) AS raw, CASE WHEN head THEN ls[2:] ELSE ls END AS rest FROM h)"
+    + f" SELECT file, page, (row_number() OVER (PARTITION BY page ORDER BY i) - 1)::INT AS block, CASE WHEN raw IS NOT NULL THEN {_TITLE} END AS section, array_to_string(rest, chr(10)) AS text FROM s WHERE len(rest) > 0"
+)
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.page_blocks(pages(spark, d))
 
 
+_SUMMARY = (
+    r"array_to_string(list_filter(list_transform(string_split(regexp_replace(" + _STRIP.format("text") + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: length(s) > 30)[1:3], ' ')"
+)
+
+
+@query(
+    _LINES
+    + """, cleaned AS (SELECT s.source AS file, s.doc_id AS page, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos), '') AS text FROM documents s
+LEFT JOIN (SELECT * FROM lines WHERE line <> '' AND (file, line) NOT IN (SELECT (file, line) FROM repeated)) l ON l.page = s.doc_id GROUP BY 1, 2),
+summed AS (SELECT file, page, """ + _SUMMARY + """ AS summary FROM cleaned)
+SELECT file, page, 'Page Summary' AS section, 'Page ' || page || ' summary: ' || summary AS text FROM summed WHERE summary <> ''"""
+)
+def page_summary_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.page_summaries(cleaning.clean_pages(pages(spark, d)))
+
+
 @query(
     r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(" + _STRIP.format("coalesce(text, '')")
     + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: length(s) > 30)[1:3], ' ') AS summary FROM documents"
@@ -367,7 +425,14 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_tokens(table(spark, d, "documents"))
 
 
-@query()
+@query(
+    "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(" + _STRIP.format("coalesce(text, '')") + r", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '') AS s FROM documents),"
+    + " r AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'now': x}), lambda a, x: CASE WHEN length(a.now) + length(x.now) + 1 <= 1800"
+    + " THEN {'done': a.done, 'now': a.now || ' ' || x.now} ELSE {'done': list_append(a.done, a.now), 'now': x.now} END) AS r FROM s WHERE len(s) > 0),"
+    + r" w AS (SELECT doc_id, list_transform(list_append(r.done, r.now), lambda p: regexp_extract_all(p, '[^\s\x0b]+')) AS w FROM r),"
+    + " c AS (SELECT doc_id, flatten(list_transform(w, lambda t: list_transform(range(CASE WHEN len(t) <= 450 THEN least(len(t), 1) ELSE ceil((len(t) - 450) / 370.0)::INT + 1 END), lambda i: array_to_string(t[i * 370 + 1 : i * 370 + 450], ' ')))) AS c FROM w)"
+    + " SELECT doc_id, (i - 1)::INT AS chunk_index, text FROM (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) AS i FROM c)"
+)
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_sentences(table(spark, d, "documents"))
 
@@ -419,15 +484,15 @@ def citation_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CONTEXT = _WITH + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored),
-top AS (SELECT r.query_id, r.rank, r.score, d.source || ' > ' || d.lang AS citation, substr(d.text, 1, 200) AS text FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 3)
+top AS (SELECT r.query_id, r.rank, r.score, d.source || ' > ' || d.lang AS citation, d.text FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 3)
 """
 
 
-def _contexts(spark: SparkSession, d: str, passage: str = "substring(text, 1, 200)") -> DataFrame:
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     found = bm25.best(bm25.scores(*rows_and_questions(spark, d), k=3), 3)
     label = T.citation(F.lit("html"), F.lit(None).cast("string"), F.col("source"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.col("lang"))
-    return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), F.expr(passage).alias("text")))
+    return corpus.assemble(found, docs.select(F.col("doc_id").alias("corpus_row"), label.alias("citation"), "text"))
 
 
 def _sources(contexts: DataFrame) -> DataFrame:
@@ -440,12 +505,6 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     return _sources(_contexts(spark, d))
 
 
-@query()
-def context_assembly_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``context_assembly`` with whole passages, of which its SQL keeps 200 characters."""
-    return _sources(_contexts(spark, d, "text"))
-
-
 @query(
     _CONTEXT
     + """SELECT t.query_id, 'Answer from the sources below and cite them.' || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[' || citation || ']' || chr(10) || t.text, chr(10) || chr(10) ORDER BY rank)
@@ -456,13 +515,6 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return _contexts(spark, d).join(questions, "query_id").select("query_id", T.prompt(F.col("text"), F.col("contexts")).alias("prompt"))
 
 
-@query()
-def prompt_build_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``prompt_build`` with whole passages, of which its SQL keeps 200 characters."""
-    _, questions = rows_and_questions(spark, d)
-    return _contexts(spark, d, "text").join(questions, "query_id").select("query_id", T.prompt(F.col("text"), F.col("contexts")).alias("prompt"))
-
-
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN CASE WHEN trim(text) = '' THEN text ELSE trim(text) END ELSE text END AS variants FROM conversations""")
 def rewrite_parse(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "conversations")
@@ -479,23 +531,32 @@ def rate_limit_key(spark: SparkSession, d: str) -> DataFrame:
 
 # Corpus
 
-_VERSIONS = "WITH v AS (SELECT source AS document, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, doc_id AS corpus_row, sha256(coalesce(text, '')) AS checksum FROM documents) "
+_VERSIONS = """WITH v AS (SELECT 'd' || (doc_id // 30) AS document, (doc_id % 30) // 10 + 1 AS version, doc_id AS corpus_row, doc_id % 10 AS chunk_index, sha256(coalesce(text, '')) AS checksum, text FROM documents),
+sig AS (SELECT document, version, min_by(checksum, chunk_index) AS checksum FROM v GROUP BY document, version) """
+
+
+@query(_VERSIONS + "SELECT document, version::INT AS version, checksum FROM sig")
+def docs_signature(spark: SparkSession, d: str) -> DataFrame:
+    return signatures(versions(spark, d))
 
 
-@query(_VERSIONS + "SELECT document, version::INT AS version, corpus_row, checksum FROM v QUALIFY row_number() OVER (PARTITION BY document ORDER BY version DESC) = 1")
+@query(_VERSIONS + "SELECT document, version::INT AS version, checksum FROM sig QUALIFY row_number() OVER (PARTITION BY document ORDER BY version DESC) = 1")
 def doc_latest_version(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest(versions(spark, d))
+    return corpus.latest(signatures(versions(spark, d)))
 
 
-@query(_VERSIONS + "SELECT document, max(version)::INT AS version, max(corpus_row) AS corpus_start, 1::BIGINT AS corpus_count, max_by(checksum, version) AS checksum FROM v GROUP BY document")
+_NEWEST = "SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY document)"
+
+
+@query(_VERSIONS + f"SELECT document, version::INT AS version, min(corpus_row) AS corpus_start, count(*) AS corpus_count, max(checksum) AS checksum FROM ({_NEWEST}) GROUP BY document, version")
 def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
     return corpus.manifest(versions(spark, d))
 
 
-@query(_VERSIONS + "SELECT document, version::INT AS version, corpus_row FROM v WHERE document IN ('src1', 'src2', 'none') QUALIFY version = max(version) OVER (PARTITION BY document)")
+@query(_VERSIONS + f"SELECT document, version::INT AS version, corpus_row FROM ({_NEWEST}) WHERE document IN ('d1', 'd2', 'none')")
 def allowed_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = versions(spark, d)
-    wanted = spark.createDataFrame([("src1",), ("src2",), ("none",)], "document string")
+    wanted = spark.createDataFrame([("d1",), ("d2",), ("none",)], "document string")
     return corpus.rows_of(corpus.manifest(rows), wanted, rows).select("document", "version", "corpus_row")
 
 
@@ -504,7 +565,7 @@ def corpus_append_rows(spark: SparkSession, d: str) -> DataFrame:
     return corpus.append_rows(5000, table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "corpus_row")
 
 
-@query(_VERSIONS + ", newest AS (SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY document)) SELECT document, version::INT AS version, row_number() OVER (ORDER BY corpus_row) - 1 AS corpus_row, corpus_row AS old_row FROM newest")
+@query(_VERSIONS + f"SELECT document, version::INT AS version, row_number() OVER (ORDER BY corpus_row) - 1 AS corpus_row, corpus_row AS old_row FROM ({_NEWEST})")
 def corpus_compact(spark: SparkSession, d: str) -> DataFrame:
     rows = versions(spark, d)
     return corpus.compact(rows, corpus.tombstones(rows)).select("document", "version", "corpus_row", "old_row")
@@ -512,25 +573,174 @@ def corpus_compact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _VERSIONS
-    + """, stored AS (SELECT * FROM v WHERE version <= 10), now AS (SELECT document, version, checksum FROM stored QUALIFY version = max(version) OVER (PARTITION BY document)),
-arriving AS (SELECT document || CASE WHEN document LIKE '%3' THEN '-new' ELSE '' END AS document, CASE WHEN document LIKE '%5' THEN checksum ELSE 'changed' END AS checksum FROM now)
+    + """, now AS (SELECT * FROM sig QUALIFY version = max(version) OVER (PARTITION BY document)),
+arriving AS (SELECT document || CASE WHEN document LIKE '%3' THEN '-new' ELSE '' END AS document, CASE WHEN document LIKE '%5' THEN checksum ELSE 'changed' || version END AS checksum FROM sig)
 SELECT a.document, a.checksum, CASE WHEN n.version IS NULL THEN 'insert' WHEN a.checksum = n.checksum THEN 'skip' ELSE 'bump' END AS status,
 (CASE WHEN n.version IS NULL THEN 1 WHEN a.checksum = n.checksum THEN n.version ELSE n.version + 1 END)::INT AS version FROM arriving a LEFT JOIN now n USING (document)"""
 )
 def change_detection(spark: SparkSession, d: str) -> DataFrame:
-    stored = versions(spark, d).where("version <= 10")
+    """Every version arrives, under its name, a new one or changed, and is held against all stored versions."""
+    stored = signatures(versions(spark, d))
     name = F.concat("document", F.when(F.col("document").like("%3"), "-new").otherwise(""))
-    arriving = corpus.latest(stored).select(name.alias("document"), F.when(F.col("document").like("%5"), F.col("checksum")).otherwise("changed").alias("checksum"))
+    arriving = stored.select(name.alias("document"), F.when(F.col("document").like("%5"), F.col("checksum")).otherwise(F.concat(F.lit("changed"), "version")).alias("checksum"))
     return corpus.changes(stored, arriving)
 
 
+_UPDATED = """, one AS (SELECT *, row_number() OVER (ORDER BY document, chunk_index) - 1 AS pos FROM v WHERE version = 1),
+three AS (SELECT *, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY document, chunk_index) - 1 AS pos FROM v WHERE version = 3),
+kept AS (SELECT * FROM three UNION ALL SELECT * FROM one WHERE document NOT IN (SELECT document FROM three))
+"""
+
+
+@query(
+    _VERSIONS
+    + _UPDATED
+    + """SELECT document, version::INT AS version, min(pos) AS corpus_start, count(*) AS corpus_count, string_agg(document || ':v' || version || ':' || chunk_index, ' ' ORDER BY pos) AS active,
+  (SELECT count(*) FROM one WHERE document IN (SELECT document FROM three)) AS tombstones FROM kept GROUP BY document, version"""
+)
+def corpus_update(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus that takes in the first versions, is opened again and takes in the third ones."""
+    rows = versions(spark, d).withColumn("chunk_id", T.chunk_id(F.col("document"), F.col("version"), F.col("chunk_index"))).withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    path = scratch(spark, "corpus")
+    Corpus(spark, path, dim=2).update(rows.where("version = 1"), index=False)
+    Corpus(spark, path).update(rows.where("version = 3"), index=False)
+    store = Corpus(spark, path)
+    gone = store.deleted().agg(F.count("*").alias("tombstones"))
+    return store.manifest().crossJoin(F.broadcast(gone)).select("document", "version", "corpus_start", "corpus_count", F.array_join("active_chunk_ids", " ").alias("active"), "tombstones")  # gone is one row
+
+
+@query(_VERSIONS + f"SELECT document, version::INT AS version, corpus_row, chunk_index::INT AS chunk_index FROM (SELECT * FROM v WHERE version = 2 UNION ALL SELECT * FROM v WHERE version = 1 AND document NOT IN (SELECT document FROM v WHERE version = 2))")
+def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of first versions, superseded by those of second ones."""
+    rows = versions(spark, d).select("document", "version", "corpus_row", "chunk_index")
+    return ingest.upsert(rows.where("version = 1"), rows.where("version = 2"))
+
+
+@query(_VERSIONS + "SELECT corpus_row, document || ':v' || version || ':' || chunk_index AS chunk_id, text FROM v")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines and read again, with ids made by ``chunk_id``."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_row"), "text")
+    rows = versions(spark, d).join(texts, "corpus_row").select("corpus_row", T.chunk_id(F.col("document"), F.col("version"), F.col("chunk_index")).alias("chunk_id"), "text")
+    path = scratch(spark, "jsonl")
+    files.write_jsonl(rows, path)
+    return files.read_jsonl(spark, path, "corpus_row bigint, chunk_id string, text string")
+
+
+@query("SELECT vec_id AS corpus_row, len(embedding)::INT AS dim, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings")
+def raw_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as float32 bytes and read again."""
+    rows, path = table(spark, d, "embeddings").select(F.col("vec_id").alias("corpus_row"), "embedding"), scratch(spark, "raw")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    files.write_vectors(rows, path, width)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return files.read_raw(spark, path, width).select("corpus_row", F.size("embedding").alias("dim"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+# Requests
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with vectors as chunks of a corpus: language for kind, source for filename, an hour for each id."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_row"), F.col("lang").alias("source_type"), F.col("source").alias("filename"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("ingested_at"), F.concat(F.lit("d"), F.expr("doc_id % 50")).alias("document"))
+    return docs.join(rows_and_vectors(spark, d)[0].select("corpus_row", "embedding"), "corpus_row")
+
+
+def _filtered(where: str) -> str:
+    return f"""WITH e AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id WHERE {where}),
+asked AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings JOIN benchmark ON item_id = vec_id),
+near AS (SELECT query_id, doc_id, round({_SCORES["cosine"]}, 6) + 0.0 AS score FROM e CROSS JOIN asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near) SELECT query_id, doc_id AS corpus_row, score, rank::INT AS rank FROM ranked WHERE rank <= 6"""
+
+
+@query(_filtered("lower(lang) = 'en' AND contains(lower(source), 'src1') AND doc_id * 3600 BETWEEN 36000 AND 3600000"))
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    where = retrieval.filters("EN ", "SRC1", "1970-01-01 10:00:00", "1970-02-11 16:00:00")
+    return retrieval.search_corpus(_corpus(spark, d), rows_and_vectors(spark, d)[1], where=where)
+
+
+@query(_filtered("doc_id % 50 IN (3, 7, 11) AND doc_id % 4 <> 1"))
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = _corpus(spark, d)
+    wanted = spark.createDataFrame([("d3",), ("d7",), ("d11",), ("none",)], "document string")
+    return retrieval.search_corpus(rows, rows_and_vectors(spark, d)[1], documents=wanted, deleted=rows.where("corpus_row % 4 = 1").select("corpus_row"))
+
+
+@query("SELECT '00000000-0000-4000-8000-' || lpad((doc_id % 10)::VARCHAR, 12, '0') AS document FROM documents WHERE source = 'src3' AND doc_id % 10 IN (1, 3) GROUP BY 1")
+def owned_documents(spark: SparkSession, d: str) -> DataFrame:
+    u = lambda n: f"00000000-0000-4000-8000-{n:012d}"
+    docs = table(spark, d, "documents").select(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.expr("doc_id % 10").cast("string"), 12, "0")).alias("document"), F.col("source").alias("owner_id"))
+    return retrieval.owned(docs, "src3", [u(1), u(3), u(77)])
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN conv_id || ',' || turn WHEN 1 THEN conv_id::VARCHAR ELSE '' END AS documents, CASE WHEN turn % 4 IN (0, 1) THEN 6 ELSE turn % 4 END::INT AS k FROM conversations")
+def request_scope(spark: SparkSession, d: str) -> DataFrame:
+    conv, kind = F.col("conv_id").cast("string"), F.col("turn") % 3
+    several = F.when(kind == 0, F.array(conv, F.col("turn").cast("string"))).when(kind == 1, F.array().cast("array<string>"))
+    k = F.when(F.col("turn") % 4 != 0, F.when(F.col("turn") % 4 == 1, 0).otherwise(F.col("turn") % 4))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(retrieval.asked_documents(several, F.when(kind != 2, conv)), ",").alias("documents"), retrieval.top_k_or(k).alias("k"))
+
+
+@query("SELECT doc_id, 'passage: ' || coalesce(text, '') AS passage, 'query: ' || coalesce(lang, '') AS question FROM documents")
+def embedding_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", models.prefixed(F.col("text"), models.PASSAGE).alias("passage"), models.prefixed(F.col("lang"), models.QUERY).alias("question"))
+
+
+@query("SELECT item_id AS query_id, unnest([1, 2]) AS variant, unnest([coalesce(text, ''), 'what is ' || coalesce(text, '')]) AS text FROM benchmark")
+def query_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """Rewrites by a model that knows one other wording."""
+    make = lambda: lambda questions: [json.dumps([f"what is {q}", q]) for q in questions]
+    _, questions = rows_and_questions(spark, d)
+    return models.rewrite(questions, make)
+
+
+@query(
+    _VERSIONS
+    + """, ids AS (SELECT 'd' || (item_id // 30) AS document, (item_id % 30) // 10 + 1 + (item_id % 7 = 0)::INT AS version, item_id % 10 AS chunk_index, item_id FROM benchmark)
+SELECT i.item_id AS query_id, v.text FROM ids i JOIN v USING (document, version, chunk_index)"""
+)
+def hydrated_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts by document, version and index; some ids name a version that isn't there."""
+    uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("n").cast("string"), 12, "0"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("item_id div 30").alias("n"), (F.expr("(item_id % 30) div 10") + 1 + (F.col("item_id") % 7 == 0).cast("int")).cast("int").alias("version"), F.expr("cast(item_id % 10 as int)").alias("i"))
+    found = asked.select("query_id", T.chunk_id(uuid, F.col("version"), F.col("i")).alias("citation_id"))
+    rows = versions(spark, d).withColumn("n", F.expr("cast(substring(document, 2) as bigint)")).withColumn("document", uuid)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_row"), "text")
+    return retrieval.hydrate(found, rows.join(texts, "corpus_row")).select("query_id", "text")
+
+
+@query(
+    """SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END::INT AS n, CASE WHEN item_id % 2 = 0 THEN
+'Answer from the sources below and cite them.' || chr(10) || chr(10) || 'Sources:' || chr(10) || '[src]' || chr(10) || 'text' || chr(10) || chr(10) || 'Question: ' || trim(text)
+ELSE 'I could not find relevant context for that question in your indexed documents.' END AS answer FROM benchmark"""
+)
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every other question has a passage; the stand-in model answers with its prompt."""
+    _, questions = rows_and_questions(spark, d)
+    contexts = questions.where("query_id % 2 = 0").select("query_id", F.lit(1).alias("n"), F.array(F.struct(F.lit("src").alias("citation"), F.lit("text").alias("text"))).alias("contexts"))
+    return retrieval.answers(questions, contexts)
+
+
 @query()
-def change_detection_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every row arrives and is held against all stored versions; the SQL of ``change_detection`` stores ten of each source."""
-    stored = versions(spark, d)
-    name = F.concat("document", F.when(F.col("document").like("%3"), "-new").otherwise(""))
-    arriving = stored.select(name.alias("document"), F.when(F.col("document").like("%5"), F.col("checksum")).otherwise("changed").alias("checksum"))
-    return corpus.changes(stored, arriving)
+def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as PDF pages of their source, HTML blocks and plain texts, chunked by kind; NFKC has no SQL."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    kind = F.element_at(F.array(F.lit("txt"), F.lit("html"), F.lit("pdf")), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.concat_ws("/", F.when(F.col("doc_id") % 3 == 2, F.expr("concat('file', doc_id div 60)")).otherwise(F.col("doc_id").cast("string")))
+    return ingest.chunks(docs.select(name.alias("document"), kind.alias("kind"), F.when(kind == "pdf", F.col("doc_id").cast("int")).alias("page"), F.lit(0).alias("nth"), F.col("lang").alias("section"), "text"))
+
+
+# Sweeps
+
+
+@query("SELECT n.seed_row, count(*) AS times FROM (SELECT i % (SELECT count(*) FROM embeddings) AS seed_row FROM range(3000) t(i)) n GROUP BY 1")
+def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "embeddings").select(F.col("vec_id").alias("corpus_row"), "embedding")
+    return sweep.synthetic(seeds, 3000).groupBy("seed_row").agg(F.count("*").alias("times"))
+
+
+@query("SELECT item_id AS query_id, true AS same FROM benchmark JOIN embeddings ON vec_id = item_id")
+def index_determinism(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.same_after_loading(*rows_and_vectors(spark, d))
 
 
 # Measures and limits
