@@ -83,20 +83,31 @@ def broadcast_if_small(df: DataFrame, width: Column | int, most: int = BROADCAST
     return F.broadcast(df) if total <= most else df
 
 
-def join_often(rows: DataFrame, table: DataFrame, key: str, often: DataFrame, width: Column | int) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, whose ``key`` is unique. ``often`` (key) lists keys that very many rows have.
+def often(table: DataFrame, key: str, count: str | None = None) -> DataFrame | None:
+    """(key) of those that more than ``OFTEN`` rows of a materialized ``table`` have; None if there is none.
+
+    With ``count``, the table has a row for each key and says how many rows that stands for.
+    """
+    if count is None:
+        if table.count() <= OFTEN:  # known from the files' footers
+            return None
+        table, count = table.groupBy(key).agg(F.count("*").alias("n")), "n"
+    found = materialize(table.where(F.col(count) > OFTEN).select(key), "often")
+    return None if found.isEmpty() else found
+
+
+def join_often(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, width: Column | int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``key`` is unique. ``hot`` (key) lists keys that very many rows have.
 
     What the table has for those, ``width`` bytes a row, is sent to where the
     rows are if it is small, so that their rows aren't brought into one task.
-    All inputs should be materialized tables.
     """
-    if often.isEmpty():
-        return rows.join(broadcast_if_small(table, width), key)
-    few = broadcast_if_small(often, 16)
-    hot = table.join(few, key, "left_semi")
-    there = rows.join(broadcast_if_small(hot, width), key)
-    here = rows.join(few, key, "left_anti").join(broadcast_if_small(table, width), key)
-    return there.unionByName(here)
+    if hot is None:
+        return rows.join(table, key)
+    few = broadcast_if_small(hot, 16)
+    known = materialize(table.join(few, key, "left_semi"), "hot")
+    there = rows.join(broadcast_if_small(known, width), key)
+    return there.unionByName(rows.join(few, key, "left_anti").join(table, key))
 
 
 def free(name: str, columns: list[str]) -> str:
