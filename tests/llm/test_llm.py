@@ -186,10 +186,9 @@ def test_words_with_equal_polynomials_are_not_linked(spark):
 
 @pytest.mark.parametrize("often", [3, 25])
 def test_hubs_and_one_hot_bucket(spark, monkeypatch, often):
-    from tidewell.llm import components
+    from tidewell import storage
 
-    monkeypatch.setattr(near_dedup, "OFTEN", often)
-    monkeypatch.setattr(components, "OFTEN", often)
+    monkeypatch.setattr(storage, "OFTEN", often)
     monkeypatch.setattr(near_dedup, "SMALL", 8)
     monkeypatch.setattr(near_dedup, "BLOCK", 10)
     texts = near_copies(23, 1, 120, 80, 20) + ["one text that has copies"] * 40 + near_copies(24, 3, 20, 30, 6) + ODD

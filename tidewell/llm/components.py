@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import OFTEN, broadcast_if_small, join_often, materialize
+from tidewell.storage import join_often, materialize, often
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,16 +19,23 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "links")
-    nodes = materialize(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "nodes")
-    hubs = nodes.where(F.col("n") > OFTEN).select(F.col("a").alias("b"))
-    labels = nodes.select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
+    hubs = often(both, "b")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
         near = join_often(both, labels.withColumnRenamed("node", "b"), "b", hubs, 32).groupBy("a").agg(F.min("component").alias("low"))
-        lower = materialize(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component")), "lower")
-        # Labels that have a lower one themselves: few, as most are the smallest node of a star.
-        of = lower.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("further"))
-        of = materialize(of.join(lower.select("component").distinct(), "component", "left_semi"), "further")
-        labels = materialize(lower.join(broadcast_if_small(of, 32), "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")), "labels")
-        if labels.where("component <> old").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        of = labels.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("further"))
+        fresh = materialize(lower.join(of, "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")), "labels")
+        labels = fresh.select("node", "component")
+        if fresh.where("component <> old").isEmpty():
+            return labels
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links (a, b), found among the components that these touch: a graph of one node for each."""
+    end = lambda x: more.select("nth", F.col(x).alias("node")).join(labels, "node", "left").select("nth", F.coalesce("component", "node").alias(x))
+    more = materialize(more.withColumn("nth", F.monotonically_increasing_id()), "more-links")
+    between = materialize(end("a").join(end("b"), "nth").select("a", "b").where("a <> b").distinct(), "between")
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("low"))
+    nodes = labels.unionByName(more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return materialize(nodes.join(moved, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "labels")

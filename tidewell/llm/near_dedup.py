@@ -39,9 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.components import components
+from tidewell.llm.components import components, joined
 from tidewell.llm.textvec import coded, mix, names, numbered, pieces, sets, shingles
-from tidewell.storage import OFTEN, bound_batches, broadcast_if_small, join_often, materialize
+from tidewell.storage import bound_batches, broadcast_if_small, join_often, materialize, often
 
 BINS = 128
 #: 32 bands of 4 bins: a pair at 0.8 shares no bucket with a probability of 5e-8.
@@ -144,10 +144,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are alike: 100 * intersection >= percent * union."""
     texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    met = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN), "hubs")
     centres = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    full = join_often(right, centres, "a", met.select("a"), F.octet_length("text_a") + 16).select("a", "b", "text_a", "text_b")
+    full = join_often(right, centres, "a", often(pairs, "a"), F.octet_length("text_a") + 16).select("a", "b", "text_a", "text_b")
     return materialize(full.mapInArrow(_confirm(size, percent), "a bigint, b bigint"), "confirmed")
 
 
@@ -251,7 +250,7 @@ def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: Da
     # Of large buckets that hold the same documents one will do.
     split = split.groupBy("big", "total", "held", "main", F.when(~F.col("big"), F.col("bucket")).alias("own")).agg(F.min("bucket").alias("bucket"))
     split = materialize(split.select("bucket", "main", "big", "total"), "split-buckets")
-    members = materialize(join_often(placed, split, "bucket", split.where(F.col("total") > OFTEN).select("bucket"), 48), "split-members")
+    members = materialize(join_often(placed, split, "bucket", often(split, "bucket", "total"), 48), "split-members")
 
     few = members.where("not big").join(reps.select("id", "n_shingles", "bands"), "id")
     few = few.groupBy("bucket").agg(F.collect_list(F.struct("id", "component", "n_shingles", "bands")).alias("members"))
@@ -282,22 +281,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands binary"), "signatures")
-    reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key")
+    reps = reps.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     reps = materialize(reps, "representatives")
     entries = materialize(reps.select("id", "bands").mapInArrow(_entries, "id bigint, bucket bigint"), "all-entries")
     centres = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
     centres = materialize(centres, "centres")
-    shared = materialize(join_often(entries, centres, "bucket", centres.where(F.col("n") > OFTEN).select("bucket"), 40).select("bucket", "id", "centre"), "entries")
+    shared = materialize(join_often(entries, centres, "bucket", often(centres, "bucket", "n"), 40).select("bucket", "id", "centre"), "entries")
     pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, docs, size, percent)
     labels = components(links)
     more = _left_over(shared.select("bucket", "id"), reps, labels, pairs, docs, size, percent)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    classes = reps.join(labels, reps["id"] == labels["node"], "left").select(F.col("set_key").alias("of"), F.coalesce("component", "id").alias("component_id"), "id")
-    copies = materialize(described.where("set_key is not null").groupBy(F.col("set_key").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > OFTEN), "hubs")
-    classes = materialize(classes, "classes")
+        labels = joined(labels, more)
+    classes = reps.join(labels, reps["id"] == labels["node"], "left").select(F.col("set_key").alias("of"), F.coalesce("component", "id").alias("component_id"))
     known = described.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", F.col("set_key").alias("of"))
-    out = join_often(known, classes, "of", copies.select("of"), 48).select("doc_id", "n_shingles", "component_id")
+    out = join_often(known, classes, "of", often(reps.select(F.col("set_key").alias("of"), "copies"), "of", "copies"), 48).select("doc_id", "n_shingles", "component_id")
     rest = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
