@@ -231,3 +231,29 @@ def test_latest_leaf(spark, tmp_path):
         for name in ("docstore.jsonl", "embeddings.bin"):
             (tmp_path / folder / name).write_text("x")
     assert files.latest_leaf(spark, str(tmp_path)).endswith("b/c")
+
+
+def test_tables_last_no_longer_than_their_step(spark):
+    import os
+
+    from tidewell import storage
+
+    rows = spark.range(5)
+    with storage.scope() as keep:
+        gone = storage.materialize(rows, "gone")
+        kept = keep(storage.materialize(gone.where("id > 2"), "kept"))
+    assert sorted(r.id for r in kept.collect()) == [3, 4] and not os.path.exists(gone._written_at) and os.path.exists(kept._written_at)
+    storage.discard(kept, rows)
+    assert not os.path.exists(kept._written_at)
+
+
+def test_rows_of_hot_keys_meet_their_table(spark, monkeypatch):
+    from tidewell import storage
+
+    monkeypatch.setattr(storage, "OFTEN", 10)
+    rows = storage.materialize(spark.range(100).selectExpr("if(id < 60, 0, id) as k", "id"), "rows")
+    table = storage.materialize(spark.range(90).selectExpr("id as k", "id * 2 as v"), "table")
+    for hot in (storage.often(rows, "k"), None):
+        assert sorted(map(tuple, storage.join_often(rows, table, "k", hot, 16).select("id", "v").collect())) == [(i, 0 if i < 60 else 2 * i) for i in range(90)]
+    assert [r.k for r in storage.often(rows, "k").collect()] == [0]
+    assert storage.often(rows.where("k > 0").limit(5), "k") is None

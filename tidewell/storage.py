@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,17 +56,49 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more; other DataFrames are left alone."""
+    gone = {getattr(t, "_written_at", None) for t in tables} - {None}
+    for entry in [e for e in _written if e[1] in gone]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those passed to the function that this gives.
+
+    So a step's tables last no longer than the step. What leaves the scope must
+    be such a table, or not read any of the others.
+    """
+    mark, kept = len(_written), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._written_at)
+        return table
+
+    yield keep
+    for entry in _written[mark:]:
+        if entry[1] not in kept:
+            _delete(*entry)
+    _written[mark:] = [e for e in _written[mark:] if e[1] in kept]
 
 
 def release() -> None:
     """Delete every table written by ``materialize`` in this process."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_written.pop())
         except Exception:  # the session may have ended, and its folder with it
             return
 
