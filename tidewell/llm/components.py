@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import join_often, materialize, often
+from tidewell.storage import discard, join_often, materialize, often
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         of = labels.where("component < node").select(F.col("node").alias("component"), F.col("component").alias("further"))
         fresh = materialize(lower.join(of, "component", "left").select("node", "old", F.coalesce("further", "component").alias("component")), "labels")
+        discard(labels)
         labels = fresh.select("node", "component")
+        labels._written_at = fresh._written_at
         if fresh.where("component <> old").isEmpty():
             return labels
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.textvec import pieces
-from tidewell.storage import bound_batches, broadcast_if_small, free, materialize
+from tidewell.storage import bound_batches, broadcast_if_small, free, materialize, scope
 
 BLANK = " \t\n\x0b\x0c\r"
 _LINES = "line_hash binary, doc_id bigint, text_hash binary, n_lines int, positions array<int>"
@@ -166,7 +166,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, added: tuple[str, ...]
     """
     if taken := set(added) & set(docs.columns):
         raise ValueError(f"the columns {sorted(taken)} are there already")
-    bitmaps = materialize(keep_bitmaps(docs, least), "line-bitmaps")
+    with scope() as keep:
+        bitmaps = keep(materialize(keep_bitmaps(docs, least), "line-bitmaps"))
     doc, of, bitmap, own = (free(x, docs.columns) for x in ("__doc", "__hash", "__keep", "__text_hash"))
     small = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.col("keep").alias(bitmap))
     side = broadcast_if_small(small, F.octet_length(bitmap) + 64)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.components import components, joined
 from tidewell.llm.textvec import coded, mix, names, numbered, pieces, sets, shingles
-from tidewell.storage import bound_batches, broadcast_if_small, join_often, materialize, often
+from tidewell.storage import bound_batches, broadcast_if_small, discard, join_often, materialize, often, scope
 
 BINS = 128
 #: 32 bands of 4 bins: a pair at 0.8 shares no bucket with a probability of 5e-8.
@@ -147,7 +147,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     centres = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = join_often(right, centres, "a", often(pairs, "a"), F.octet_length("text_a") + 16).select("a", "b", "text_a", "text_b")
-    return materialize(full.mapInArrow(_confirm(size, percent), "a bigint, b bigint"), "confirmed")
+    out = materialize(full.mapInArrow(_confirm(size, percent), "a bigint, b bigint"), "confirmed")
+    discard(texts)
+    return out
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,22 +282,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands binary"), "signatures")
-    reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    reps = reps.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
-    reps = materialize(reps, "representatives")
-    entries = materialize(reps.select("id", "bands").mapInArrow(_entries, "id bigint, bucket bigint"), "all-entries")
-    centres = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    centres = materialize(centres, "centres")
-    shared = materialize(join_often(entries, centres, "bucket", often(centres, "bucket", "n"), 40).select("bucket", "id", "centre"), "entries")
-    pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = confirmed(pairs, docs, size, percent)
-    labels = components(links)
-    more = _left_over(shared.select("bucket", "id"), reps, labels, pairs, docs, size, percent)
-    if not more.isEmpty():
-        labels = joined(labels, more)
-    classes = reps.join(labels, reps["id"] == labels["node"], "left").select(F.col("set_key").alias("of"), F.coalesce("component", "id").alias("component_id"))
-    known = described.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", F.col("set_key").alias("of"))
-    out = join_often(known, classes, "of", often(reps.select(F.col("set_key").alias("of"), "copies"), "of", "copies"), 48).select("doc_id", "n_shingles", "component_id")
-    rest = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with scope() as keep:
+        described = materialize(docs.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, set_key binary, bands binary"), "signatures")
+        reps = described.where("set_key is not null and doc_id is not null").groupBy("set_key")
+        reps = reps.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+        reps = materialize(reps, "representatives")
+        entries = materialize(reps.select("id", "bands").mapInArrow(_entries, "id bigint, bucket bigint"), "all-entries")
+        centres = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+        centres = materialize(centres, "centres")
+        shared = materialize(join_often(entries, centres, "bucket", often(centres, "bucket", "n"), 40).select("bucket", "id", "centre"), "entries")
+        pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        links = confirmed(pairs, docs, size, percent)
+        labels = components(links)
+        more = _left_over(shared.select("bucket", "id"), reps, labels, pairs, docs, size, percent)
+        if not more.isEmpty():
+            labels = joined(labels, more)
+        classes = reps.join(labels, reps["id"] == labels["node"], "left").select(F.col("set_key").alias("of"), F.coalesce("component", "id").alias("component_id"))
+        known = described.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", F.col("set_key").alias("of"))
+        out = join_often(known, classes, "of", often(reps.select(F.col("set_key").alias("of"), "copies"), "of", "copies"), 48).select("doc_id", "n_shingles", "component_id")
+        rest = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return keep(materialize(out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates"))
