@@ -19,7 +19,7 @@ from tidewell.llm.line_dedup import ADDED, drop_repeated_lines
 from tidewell.llm.near_dedup import near_duplicates
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.toxicity import held_out, score, train
-from tidewell.storage import broadcast_if_small, free, materialize
+from tidewell.storage import broadcast_if_small, discard, free, materialize, scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scope() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
