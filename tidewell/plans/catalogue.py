@@ -56,7 +56,8 @@ def rows_and_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 def hybrid_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows, asked = rows_and_vectors(spark, d)
     docs, questions = rows_and_questions(spark, d)
-    return docs.join(rows.select("corpus_row", "embedding"), "corpus_row"), questions.join(asked, "query_id")
+    # Both sides of a hybrid search read them, and re-ranking and diversifying do again.
+    return materialize(docs.join(rows.select("corpus_row", "embedding"), "corpus_row"), "corpus"), materialize(questions.join(asked, "query_id"), "questions")
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
