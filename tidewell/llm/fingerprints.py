@@ -145,8 +145,8 @@ def sketches(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprint(row: np.ndarray) -> str:
-    return row.astype(">u4").tobytes().hex()
+def fingerprint(row: np.ndarray) -> bytes:
+    return row.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,7 +162,8 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What is written on the way holds bytes, half as long as their hex digits.
+_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
@@ -172,9 +173,9 @@ def _describe(ids: list, texts: list[str], after: list[str], known: np.ndarray,
     return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([sha256(t).hexdigest() for t in changed], pa.string()),
-        pa.array([fingerprint(r) for r in known], pa.string()),
-        pa.array([fingerprint(r) for r in other], pa.string()),
+        pa.array([sha256(t).digest() for t in changed], pa.binary()),
+        pa.array([fingerprint(r) for r in known], pa.binary()),
+        pa.array([fingerprint(r) for r in other], pa.binary()),
         pa.array(likeness(known, other), pa.float64()),
         pa.array(likeness(known, of_next), pa.float64()),
     ]
@@ -187,7 +188,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = False
 
     def edge(kind: str, doc: int | None, text: str) -> pa.RecordBatch:
-        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([doc], pa.int64()), *empty, pa.array([text], pa.string())], names=names)
 
     for part in pieces(batches):
@@ -229,4 +230,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     follows = heads.select("part").withColumn("after", F.lead("part").over(order)).withColumn("after", F.coalesce("after", F.min("part").over(Window.partitionBy(F.lit(0)))))
     pairs = tails.join(follows, "part").join(heads.select(F.col("part").alias("after"), F.col("text").alias("following")), "after")
     last = pairs.select("doc_id", "text", "following").mapInArrow(_at_edges, _RESULT)
-    return streamed.where("kind = 'row'").select(_NAMES).unionByName(last)
+    out = streamed.where("kind = 'row'").select(_NAMES).unionByName(last)
+    return out.select(*(F.lower(F.hex(x)).alias(x) if kind == "binary" else F.col(x) for x, kind in (y.split() for y in _RESULT.split(", "))))
