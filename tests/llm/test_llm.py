@@ -881,6 +881,37 @@ def test_search_is_exact(spark, monkeypatch, dense):
     assert shard.seen[1] < shard.seen[0] and shard.seen[3] < shard.seen[2]
 
 
+def shard_of(docs):
+    made_of = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs], pa.string())], names=["doc_id", "text"])
+    (batch,) = search._build(iter([made_of]))
+    return search.Shard({x: batch.column(x)[0].as_buffer() for x in batch.schema.names[3:]}, 30.0)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 4, "PART_BLOCKS": 2, "SHORT": 2, "TAKEN": 16, "PAIRS": 3}, {"BLOCK": 8, "SHORT": 1, "CELLS": 900}, {"SHORT": 10**6, "GROUPS": 2, "FEATURES": 1}])
+def test_search_of_queries_together(monkeypatch, sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(search, name, size)
+    plain_words = lambda seed: [" ".join(w for w in words_of(t) if w.isalnum()) for t in made(seed, 150, vocabulary=300, longest=90)]
+    two = [(2 * i, t) for i, t in enumerate(plain_words(21))] + [(2 * i + 1, t.replace("w", "v") + " v0") for i, t in enumerate(plain_words(22))]
+    shard = shard_of(two)
+    names = {w: i for i, w in enumerate(shard.terms.to_pylist())}
+    asked = [sorted({names[w.encode()] for w in words_of(t)}) for _, t in two[::3]]
+    asked = [(np.array(at), 1 + np.arange(len(at)) % 7 / 3) for at in asked]
+    calls, plain = [], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda *a: calls.append(1) or plain(*a))
+    out = list(shard.search(np.arange(len(names)), asked, np.zeros(len(asked)), 6))
+    if not sizes:  # calls for each query would take longer than its sums
+        assert len(calls) < len(asked) / 10
+    counts = {d: Counter(names[w.encode()] for w in words_of(t)) for d, t in two}
+    for (ids, scores), (at, weight) in zip(out, asked, strict=True):
+        by_hand = {d: sum(w * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 30)) for t, w in zip(at.tolist(), weight, strict=True) if c[t]) for d, c in counts.items()}
+        best = sorted((-round(s, 6), d) for d, s in by_hand.items() if s > 0)[:6]
+        assert ids.tolist() == [d for _, d in best] and scores.tolist() == pytest.approx([-s for s, _ in best], abs=2e-6)
+    least = np.array([scores[-1] for _, scores in out])
+    again = list(shard.search(np.arange(len(names)), asked, least, 6))
+    assert [(a.tolist(), b.tolist()) for a, b in again] == [(a.tolist(), b.tolist()) for a, b in out]
+
+
 @pytest.mark.parametrize(
     "docs",
     [
