@@ -234,6 +234,32 @@ def test_a_chain_of_links_is_one_component(spark):
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    from tidewell import storage
+    from tidewell.llm import components
+
+    most, written = 2 * spark.sparkContext.defaultParallelism, []
+
+    def counted(df, label="table", *rest):
+        out = storage.materialize(df, label, *rest)
+        written.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    was = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = storage.materialize(frame(spark, [(i, i + 1) for i in range(300)], "a long, b long"))
+        assert {r.node: r.component for r in components.components(links).collect()} == {i: 0 for i in range(301)}
+    finally:
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert {label for label, _ in written} == {"links", "labels"} and max(n for _, n in written) <= most
+    monkeypatch.setattr(storage, "FILE_BYTES", 16)
+    assert storage.files(links) > most and storage.files(links, frame(spark, [])) is None
+
+
 # 3
 
 

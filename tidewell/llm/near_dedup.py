@@ -134,16 +134,16 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) with the given ids, one for each."""
-    ids = materialize(ids, "ids")
+def texts_of(docs: DataFrame, ids: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) with the given ids, one for each. ``like``: the table that the ids are from."""
+    ids = materialize(ids, "ids", (like,))
     found = docs.join(broadcast_if_small(ids, 16), docs["doc_id"] == ids["id"], "left_semi")
     return materialize(found.dropDuplicates(["doc_id"]), "texts")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are alike: 100 * intersection >= percent * union."""
-    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), pairs)
     centres = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = join_often(right, centres, "a", often(pairs, "a"), F.octet_length("text_a") + 16).select("a", "b", "text_a", "text_b")
@@ -262,7 +262,7 @@ def _left_over(entries: DataFrame, reps: DataFrame, labels: DataFrame, tried: Da
     many = members.where("big")
     if many.isEmpty():
         return found
-    texts = texts_of(docs, many.select("id").distinct()).withColumnRenamed("doc_id", "id")
+    texts = texts_of(docs, many.select("id").distinct(), members).withColumnRenamed("doc_id", "id")
     sizes = many.join(texts.select("id", F.octet_length("text").cast("long").alias("bytes")), "id").groupBy("bucket")
     sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
     sizes = materialize(sizes.withColumn("grid", F.ceil(F.sqrt("blocks")).cast("int")), "block-counts")
@@ -289,9 +289,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         reps = materialize(reps, "representatives")
         entries = materialize(reps.select("id", "bands").mapInArrow(_entries, "id bigint, bucket bigint"), "all-entries")
         centres = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-        centres = materialize(centres, "centres")
+        centres = materialize(centres, "centres", (entries,))
         shared = materialize(join_often(entries, centres, "bucket", often(centres, "bucket", "n"), 40).select("bucket", "id", "centre"), "entries")
-        pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        pairs = materialize(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs", (shared,))
         links = confirmed(pairs, docs, size, percent)
         labels = components(links)
         more = _left_over(shared.select("bucket", "id"), reps, labels, pairs, docs, size, percent)
@@ -301,4 +301,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         known = described.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", F.col("set_key").alias("of"))
         out = join_often(known, classes, "of", often(reps.select(F.col("set_key").alias("of"), "copies"), "of", "copies"), 48).select("doc_id", "n_shingles", "component_id")
         rest = described.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return keep(materialize(out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates"))
+        return keep(materialize(out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates", (described,)))
