@@ -116,6 +116,24 @@ def test_line_held_by_every_partition(spark):
     assert {r.doc_id for r in bitmaps} == set(range(1, 400)) and {tuple(line_dedup.unpack(r.keep, r.n_lines)) for r in bitmaps} == {(False, True)}
 
 
+def test_line_marks_of_few_lines_are_written_in_few_files(spark, monkeypatch):
+    from tidewell import storage
+
+    written = {}
+
+    def counted(df, label="table", *rest):
+        out = storage.materialize(df, label, *rest)
+        written[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    docs = [(i, f"this line is everywhere\nline of number {i % 90:09d}") for i in range(400)]
+    bitmaps = line_dedup.keep_bitmaps(frame(spark, docs).repartition(3), partitions=64)
+    assert bitmaps.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert {r.doc_id: int((~line_dedup.unpack(r.keep, r.n_lines)).sum()) for r in bitmaps.collect()} == {i: 1 + (i >= 90) for i in range(1, 400)}
+    assert written["line-marks"] <= 2 * spark.sparkContext.defaultParallelism
+
+
 # 2
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.textvec import pieces
-from tidewell.storage import bound_batches, broadcast_if_small, free, materialize, scope
+from tidewell.storage import bound_batches, broadcast_if_small, files, free, materialize, scope
 
 BLANK = " \t\n\x0b\x0c\r"
 _LINES = "line_hash binary, doc_id bigint, text_hash binary, n_lines int, positions array<int>"
@@ -128,14 +128,14 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, partitions: int | None = None
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     lines = materialize(given.mapInArrow(_lines_of(least), _LINES), "lines")  # range partitioning reads it twice
     placed = lines.repartitionByRange(n, "line_hash", "doc_id").sortWithinPartitions("line_hash", "doc_id")
-    marks = materialize(placed.mapInArrow(_stream, _MARKS), "line-marks")
+    marks = materialize(placed.mapInArrow(_stream, _MARKS), "line-marks", (lines,))
     edges = marks.where("kind <> 'drop'")
     earliest = edges.groupBy("line_hash").agg(F.min(F.struct("doc_id")).alias("earliest"))
     late = edges.where("kind = 'head'").join(earliest, "line_hash").where(~F.struct("doc_id").eqNullSafe(F.col("earliest")))
     columns = ["doc_id", "text_hash", "n_lines", "positions"]
     gone = marks.where("kind = 'drop'").select(columns).unionByName(late.select(columns))
     grouped = gone.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_list("positions").alias("dropped"))
-    return grouped.mapInArrow(_bitmaps, "doc_id bigint, text_hash binary, n_lines int, keep binary")
+    return grouped.mapInArrow(_bitmaps, "doc_id bigint, text_hash binary, n_lines int, keep binary").coalesce(files(lines))
 
 
 #: What ``drop_repeated_lines`` adds.
